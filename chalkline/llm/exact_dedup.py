@@ -52,6 +52,7 @@ def update_state(spark: SparkSession, path: str, schema, state: str, out: str, d
 
     with session(spark, spark__sql__streaming__stateStore__providerClass=PROVIDER,
                  spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+                 spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",  # else 4 MB and more of empty disk a partition
                  spark__sql__streaming__noDataMicroBatches__enabled="false"):
         query = (kept.writeStream.outputMode("update").option("checkpointLocation", state)
                  .trigger(availableNow=True).foreachBatch(emit).start())
