@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
