@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, toxicity
+from . import exact_dedup, licenses, quality, sentencepiece_fst, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op9_sentencepiece": sentencepiece_fst.op9_sentencepiece,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,

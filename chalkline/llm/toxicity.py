@@ -35,7 +35,7 @@ from .kernels import SPACE, Words, blocks, mix, running, span_hash, _BYTES
 from .learning import labelled_sample, platt, sigmoid
 from .storage import table
 
-DECAY, SPAN, POWER, FLOOR = 0.7, 5, 4, 0.4
+DECAY, SPAN, POWER, FLOOR = 0.85, 6, 4, 0.45
 LANDMARKS, COMMON = 160, 16
 #: Landmarks must be this many standard deviations commoner in toxic texts.
 LEAST_Z = 3.5
