@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, quality, sentencepiece_fst, toxicity
+from . import exact_dedup, licenses, mixing, quality, quotes, sentencepiece_fst, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_chat_formatting": quotes.op7_chat_formatting,
     "op9_sentencepiece": sentencepiece_fst.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op5_mixing": mixing.SQL,
+    "op7_chat_formatting": quotes.SQL,
 }
