@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, quality, quotes, sentencepiece_fst, toxicity
+from . import exact_dedup, licenses, mixing, quality, quotes, sentencepiece_fst, substrings, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_formatting": quotes.op7_chat_formatting,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_sentencepiece": sentencepiece_fst.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,
 }
