@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, near_dedup, quality, quotes, sentencepiece_fst, substrings, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, quotes, sentencepiece_fst, substrings, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
