@@ -18,13 +18,14 @@ for each different word of a block. A sentence's score is the sum of its words'
 weights and the bias, a text's score that of its most toxic sentence,
 calibrated to a probability. Labels belong to texts, so the SVM is fitted as
 multiple-instance learning: in each round every toxic text contributes its
-highest-scoring sentence as the positive one, and all others contribute all
-their sentences as negatives, up to NEGATIVES.
+highest-scoring sentence as the positive one, and all others contribute their
+sentences as negatives: those like no landmark as one weighted row, and
+NEGATIVES of the others, half of them evenly spaced and half those that score
+highest so far.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +36,14 @@ from .kernels import SPACE, Words, blocks, mix, running, span_hash, _BYTES
 from .learning import labelled_sample, platt, sigmoid
 from .storage import table
 
-DECAY, SPAN, POWER, FLOOR = 0.85, 6, 4, 0.45
+DECAY, SPAN, POWER, FLOOR = 0.85, 6, 4, 0.55
 LANDMARKS, COMMON = 160, 16
 #: Landmarks must be this many standard deviations commoner in toxic texts.
 LEAST_Z = 3.5
 #: Word weights that a Python worker remembers.
 REMEMBERED = 1 << 20
 #: Labelled rows of each class that the fit may use, and sentences of texts that aren't toxic.
-SAMPLE_PER_CLASS, NEGATIVES = 2000, 60_000
+SAMPLE_PER_CLASS, NEGATIVES = 1500, 12_000
 
 #: Symbols: 26 letters, then bytes of other characters by their low 5 bits, split by kind.
 _SYMBOL = np.full(256, -1, np.int64)
@@ -227,27 +228,39 @@ class ToxicityModel:
 
 def _choose(texts: list[str], y: np.ndarray) -> list[bytes]:
     """Landmarks: the words found most unevenly in texts of the two labels, then the most common other ones."""
-    found = [Counter(), Counter()]
-    for lo, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
+    column = pa.array(texts, pa.large_string())
+    words, labels = [], []
+    for lo, _, data, offsets in blocks(column):
         u = units(data, offsets)
-        start, end, back = _distinct(u)
-        pairs = np.unique(u.row * len(start) + back)
-        label = y[lo + pairs // max(1, len(start))]
-        names = [u.data[s:e].tobytes() for s, e in zip(start, end)]
-        for side in (0, 1):
-            for k, n in enumerate(np.bincount(pairs[label == side] % max(1, len(start)), minlength=len(start))):
-                if n and len(names[k]) >= 3:
-                    found[side][names[k]] += int(n)
-    n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-
-    def z(w: bytes) -> float:
-        p0, p1 = found[0][w] / n0, found[1][w] / n1
-        p = (found[0][w] + found[1][w]) / (n0 + n1)
-        return (p1 - p0) / np.sqrt(max(1e-12, p * (1 - p)) * (1 / n0 + 1 / n1))
-
-    words = sorted((w for w in found[1] if found[1][w] >= 3 and z(w) >= LEAST_Z), key=lambda w: (-z(w), w))[:LANDMARKS]
-    common = sorted(found[0], key=lambda w: (-found[0][w], w))
-    return words + [w for w in common if w not in set(words)][:COMMON]
+        long = u.end - u.start >= 3
+        h = span_hash(running(_BYTES[u.data]), u.start, u.end)[long]
+        row = u.row[long]
+        _, at = np.unique(h ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+        words.append(h[at])
+        labels.append(y[lo + row[at]])
+    if not words:
+        return []
+    word, back = np.unique(np.concatenate(words), return_inverse=True)
+    label = np.concatenate(labels)
+    found1 = np.bincount(back[label == 1], minlength=len(word))
+    found0 = np.bincount(back[label == 0], minlength=len(word))
+    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
+    p = (found0 + found1) / (n0 + n1)
+    z = (found1 / n1 - found0 / n0) / np.sqrt(np.maximum(1e-12, p * (1 - p)) * (1 / n0 + 1 / n1))
+    z[found1 < 3] = -np.inf
+    marked = np.lexsort((word, -z))[:LANDMARKS]
+    marked = marked[z[marked] >= LEAST_Z]
+    common = np.lexsort((word, -found0))[: LANDMARKS + COMMON]
+    common = common[~np.isin(common, marked)][:COMMON]
+    wanted, names = word[np.concatenate([marked, common])], {}
+    for _, _, data, offsets in blocks(column):
+        u = units(data, offsets)
+        h = span_hash(running(_BYTES[u.data]), u.start, u.end)
+        for i in np.flatnonzero(np.isin(h, wanted)):
+            names.setdefault(int(h[i]), u.data[u.start[i] : u.end[i]].tobytes())
+        if len(names) == len(wanted):
+            break
+    return [names[int(h)] for h in wanted] if len(marked) else []
 
 
 def _sentences(texts: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,26 +285,27 @@ def _sentences(texts: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarr
         others += np.bincount(text, minlength=len(texts)) - np.bincount(text[which], minlength=len(texts))
     if not rows:
         return np.zeros((0, len(marks.words))), np.zeros(0, np.int64), others
-    return np.concatenate(rows).astype(np.float64), np.concatenate(owner), others
+    return np.concatenate(rows), np.concatenate(owner), others
 
 
-def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 600, c: float = 3000.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 500, c: float = 3000.0) -> np.ndarray:
     """Linear SVM with squared hinge loss, classes weighing the same, by accelerated gradient steps. Row i counts times[i] times. The last weight is the bias."""
-    t = np.where(y == 1, 1.0, -1.0)
+    t = np.where(y == 1, 1.0, -1.0).astype(np.float32)
     weight = c * times * np.where(y == 1, 0.5 / max(1, times[y == 1].sum()), 0.5 / max(1, times[y == 0].sum()))
-    x = np.hstack([x, np.ones((len(x), 1))])
-    bound = 2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + 1
-    w = v = np.zeros(x.shape[1])
-    penal = np.append(np.ones(len(v) - 1), 0)
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    weight = weight.astype(np.float32)
+    bound = np.float32(2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + 1)
+    w = v = np.zeros(x.shape[1], np.float32)
+    penal = np.append(np.ones(len(v) - 1), 0).astype(np.float32)
     for k in range(steps):
         slack = np.maximum(0, 1 - t * (x @ v))
-        new = v - (v * penal - 2 * x.T @ (weight * t * slack)) / bound
-        w, v = new, new + k / (k + 3) * (new - w)
-    return w
+        new = v - (v * penal - 2 * ((weight * t * slack) @ x)) / bound
+        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
+    return w.astype(np.float64)
 
 
-def fit(sample: list[tuple[int, str, int]], rounds: int = 3) -> ToxicityModel:
-    """Without labels of both classes, a model that finds every text harmless."""
+def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds: int = 3) -> ToxicityModel:
+    """prior: share of toxic rows among all labels, for which the scores are calibrated. Without labels of both classes, a model that finds every text harmless."""
     y = np.array([x[2] for x in sample], int)
     if len(set(y)) < 2:
         return ToxicityModel(None, np.zeros(0), 0.0, 1.0, 0.0)
@@ -311,8 +325,9 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 3) -> ToxicityModel:
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
     k, owner, others = _sentences([texts[i] for i in learn], marks)
-    x, label = k @ root, y[learn][owner]
-    negative, positive = np.flatnonzero(label == 0)[:NEGATIVES], np.flatnonzero(label == 1)
+    x, label = k @ root.astype(np.float32), y[learn][owner]
+    negative, positive = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
+    even = negative[:: max(1, -(-len(negative) // (NEGATIVES // 2)))]
     lead = k[:, : max(1, len(words) - COMMON)].max(axis=1, initial=0)  # the first round's witness: the sentence with the likeliest landmark
     plain = int(others[y[learn] == 0].sum())  # harmless sentences like no landmark: rows of zeros
     w = None
@@ -320,12 +335,15 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 3) -> ToxicityModel:
         score = lead if w is None else x @ w[:-1] + w[-1]
         order = positive[np.lexsort((positive, -score[positive], owner[positive]))]
         witness = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
-        use = np.concatenate([witness, negative])
+        hard = negative[np.lexsort((negative, -score[negative]))][: NEGATIVES // 2]  # those closest to toxic ones so far
+        use = np.concatenate([witness, np.union1d(even, hard)])
         w = _svm(np.vstack([x[use], np.zeros((1, x.shape[1]))]), np.append(label[use], 0), np.append(np.ones(len(use)), max(1, min(plain, NEGATIVES))))
     model = ToxicityModel(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     own = np.flatnonzero(tune) if tune.any() else learn
     z = np.concatenate([model.raw(d, o) for _, _, d, o in blocks(pa.array([texts[i] for i in own], pa.large_string()))])
     model.a, model.b = platt(z, y[own])
+    if prior is not None and 0 < prior < 1:
+        model.b += float(np.log(prior / (1 - prior)) - np.log(y[own].mean() / (1 - y[own].mean())))
     return model
 
 
@@ -356,7 +374,9 @@ def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return fit(labelled_sample(documents, labels.where(~held_out(F.col("doc_id"))), "toxic", SAMPLE_PER_CLASS))
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    prior = known.agg(F.avg("toxic")).first()[0]
+    return fit(labelled_sample(documents, known, "toxic", SAMPLE_PER_CLASS), prior)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
