@@ -9,12 +9,18 @@ later than the latest of its row's components. Two texts agree in a component
 with the probability Jaccard similarity of their weights.
 
 Texts of the same words are one node from the start. Nodes that agree in a band
-of ROWS components are candidates. In each bucket the node that meets most
-others in all its buckets leads, and the members are verified against it by the
-exact similarity; then the next ones lead, but only for nodes that aren't in
-one class yet, until no bucket holds two classes with an unverified pair. A
-group of near copies costs a row for each member and band, not one for each
-pair.
+of ROWS components share a bucket. Buckets of up to SMALL nodes are verified
+pair by pair. In a larger one the node that meets most others in all its
+buckets leads, and the members are verified against it, which finds the centre
+of a group of near copies; a bucket that still holds several classes is then
+divided by SPLIT_ROWS further components, in ALTERNATIVES ways, and treated
+likewise, down to LEVELS divisions. Similar nodes agree in the further
+components too (two of similarity 0.8 stay together in one of the ways with
+probability 0.76 for each of the 8 buckets that they share on average), so what
+is compared shrinks to those that matter, and a group of n near copies costs
+rows in proportion to n, not to n * n. Links between similar texts only get lost
+if neither is led by, nor small enough to meet, the other in any bucket, and no
+leader or third text links them.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability 7e-5.
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
+SMALL, SPLIT_ROWS, ALTERNATIVES, LEVELS = 8, 3, 2, 3
 _U = np.uint64
 
 
@@ -136,70 +143,94 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _divided(nodes: DataFrame) -> DataFrame:
+    """(band, doc): the buckets of nodes (doc, text, keys) divided by further components; each bucket has its own choice of them."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(2)
+            bounds, flat = keys.offsets.to_numpy().astype(np.int64), keys.values.to_numpy(zero_copy_only=False).view(_U)
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                signature = signatures(*shingles(Words(data, offsets)), hi - lo)
+                row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+                own = flat[bounds[lo] : bounds[hi]]
+                for way in range(ALTERNATIVES):
+                    new = mix(own + _U(way + 1))
+                    for r in range(SPLIT_ROWS):
+                        new = mix(new ^ signature[row, (mix(own ^ _U(1000 * way + r + 1)) % _U(COMPONENTS)).astype(np.int64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(new)), pa.array(ids[lo + row], pa.int64())], ["band", "doc"])
+
+    return nodes.mapInArrow(run, "band long, doc long")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, class) of docs (doc, text): class is the least doc of the documents linked by similar pairs."""
     spark = docs.sparkSession
     described, p_all = written(_describe(docs), "near-all")
     worded = described.where("n_words > 0")
     nodes, p_nodes = written(worded.groupBy("e1", "e2").agg(F.min(F.struct("doc", "bands")).alias("f")).select("e1", "e2", "f.doc", "f.bands"), "near-nodes")
-    members = nodes.select("doc", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met, p_met = written(members.join(sizes, "band"), "near-met")
-    fame = met.groupBy("doc").agg(F.sum("size").alias("fame"))
-    met, p_famed = written(met.join(fame, "doc"), "near-famed")
-    texts, p_texts = written(docs.join(met.select("doc").distinct(), "doc", "left_semi"), "near-texts")
-    drop(spark, p_met)
-
-    label, p_label, leads = None, None, 0
-    while True:
-        # leaders of this round: the node of most fame in each bucket, then the next 1, 2, 4, ...
-        now = met if label is None else met.join(label, "doc", "left").withColumn("class", F.coalesce("root", "doc"))
-        now = now.withColumn("class", F.col("doc")) if label is None else now
-        alive = now if label is None else now.join(now.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band"), "band", "left_semi")
-        width = max(1, leads)
-        rank = F.struct(F.col("fame"), (-F.col("doc")).alias("neg"))
-        done = _leaders(alive, rank, leads)
-        heads = _leaders(alive, rank, leads + width).join(done.select("band", "lead"), ["band", "lead"], "left_anti") if leads else _leaders(alive, rank, 1)
-        heads = heads.join(alive.select("band", F.col("doc").alias("lead"), F.col("class").alias("lead_class")), ["band", "lead"]) if label is not None else heads.withColumn("lead_class", F.col("lead"))
-        pairs = alive.join(heads, "band").where("doc <> lead AND class <> lead_class").select(F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b")).distinct()
+
+    members, used = nodes.select(F.explode("bands").alias("band"), "doc"), []
+    texts = fame = tested = label = None
+    for level in range(LEVELS + 1):
+        sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        met, p_met = written(members.join(sizes, "band"), "near-met")
+        used.append(p_met)
+        if met.isEmpty():
+            break
+        if not level:
+            fame, p_fame = written(met.groupBy("doc").agg(F.sum("size").alias("fame")), "near-fame")
+            texts, p_texts = written(docs.join(fame.select("doc"), "doc", "left_semi"), "near-texts")
+            used += [p_fame, p_texts]
+        small = met.where(F.col("size") <= SMALL).select("band", "doc")
+        pairs = small.select("band", F.col("doc").alias("a")).join(small.select("band", F.col("doc").alias("b")), "band").where("a > b").select("a", "b")
+        large = met.where(F.col("size") > SMALL).join(fame, "doc")
+        heads = large.groupBy("band").agg(F.max(F.struct(F.col("fame"), (-F.col("doc")).alias("neg"))).alias("r")).select("band", (-F.col("r.neg")).alias("lead"))
+        led = large.join(heads, "band").where("doc <> lead").select(F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b"))
+        pairs = pairs.unionByName(led).distinct()
+        if level:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                pairs = pairs.join(label.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+            pairs = pairs.where("root_a <> root_b").select("a", "b")
         pairs, p_pairs = written(pairs, "near-pairs")
-        leads += width
-        if pairs.isEmpty():
-            drop(spark, p_pairs)
-            more = alive.groupBy("band").count().where(F.col("count") > leads) if label is not None else alive.limit(0)
-            if more.isEmpty():
-                break
-            continue
+        used.append(p_pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         full = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         found, p_found = written(_verify(full, threshold), "near-links")
-        links = found if label is None else found.unionByName(label.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        new, p_new = components(links)
-        new = new.withColumn("doc", F.col("id"))
-        drop(spark, p_pairs, p_found, *([p_label] if p_label else []))
-        label, p_label = new, p_new
-    roots = nodes.select("e1", "e2", F.col("doc").alias("node"))
-    out = described.select("doc", "n_words", "e1", "e2").join(roots, ["e1", "e2"], "left")
-    if label is not None:
-        out = out.join(label.select(F.col("doc").alias("node"), "root"), "node", "left")
-    else:
+        label, new = _relabelled(label, found)
+        used += [p_found, *new]
+        if level == LEVELS:
+            break
+        classed = met.where(F.col("size") > SMALL).join(label.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("class", F.coalesce("root", "doc"))
+        mixed = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
+        kept = classed.join(mixed, "band", "left_semi").groupBy("doc").agg(F.collect_list("band").alias("keys"))
+        members, p_members = written(_divided(texts.join(kept, "doc").select("doc", "text", "keys")), "near-divided")
+        used.append(p_members)
+
+    out = described.select("doc", "n_words", "e1", "e2").join(nodes.select("e1", "e2", F.col("doc").alias("node")), ["e1", "e2"], "left")
+    if label is None:
         out = out.withColumn("root", F.lit(None).cast("long"))
-    drop(spark, p_famed, p_texts)
-    return out.select("doc", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).otherwise(F.col("doc")).alias("class"))
-
-
-def _leaders(alive: DataFrame, rank, n: int) -> DataFrame:
-    """(band, lead) of the n nodes of the highest rank in each bucket."""
-    if n <= 1:
-        top = alive.groupBy("band").agg(F.max(rank).alias("r"))
-        return top.select("band", (-F.col("r.neg")).alias("lead"))
-    # the most of each bucket first on the map side: a bucket's rows never gather before they are cut to n
-    from pyspark.sql import Window
-
-    salted = alive.select("band", "doc", "fame", F.pmod(F.xxhash64("doc"), F.lit(64)).alias("salt"))
-    for by in (["band", "salt"], ["band"]):
-        order = Window.partitionBy(*by).orderBy(F.desc("fame"), "doc")
-        salted = salted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
-    return salted.select("band", F.col("doc").alias("lead"))
+    else:
+        out = out.join(label.select(F.col("id").alias("node"), "root"), "node", "left")
+    out, _ = written(out.select("doc", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).otherwise(F.col("doc")).alias("class")), "near-classes")
+    drop(spark, p_all, p_nodes, *used)
+    return out
+
+
+def _relabelled(label: DataFrame | None, links: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The classes (id, root) with these links (a, b) added, and the tables they lie in."""
+    if label is None:
+        out, path = components(links)
+        return out, [path]
+    for side in ("a", "b"):
+        links = links.join(label.select(F.col("id").alias(side), F.col("root").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
+    among, path = components(links)
+    moved = among.select(F.col("id").alias("root"), F.col("root").alias("new"))
+    old = label.join(moved, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    both, p_both = written(old.unionByName(among.join(label.select("id"), "id", "left_anti").select("id", "root")), "near-label")
+    return both, [path, p_both]
 
 
 def near_dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,7 +243,7 @@ def near_dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     an empty table gives no rows.
     """
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    out, _ = written(classes(docs, threshold), "near-classes")
+    out = classes(docs, threshold)
     sizes = out.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.join(sizes, "class").select(null("doc").alias("doc_id"), null("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
@@ -226,5 +257,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each class. What goes is a list of ids, which meets the texts in one join."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     gone = classes(plain).where("doc <> class").select("doc").distinct()
-    gone, _ = written(gone, "near-gone")
     return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["doc"], "left_anti")
