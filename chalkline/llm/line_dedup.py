@@ -188,12 +188,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents without repeated lines; those of which only blanks would be left go. n_chars follows the text."""
-    gone = removed_lines(_keyed(docs)).withColumnsRenamed({"doc": "_doc", "gone": "_gone"})
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["_doc"], "left")
+    gone = removed_lines(_keyed(docs)).withColumnsRenamed({"doc": "__line_doc", "gone": "__line_gone"})
+    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["__line_doc"], "left")
     pieces = F.split(F.col("text"), "\n")
-    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("__line_gone"), i)), "\n")
+    out = joined.withColumn("text", F.when(F.col("__line_gone").isNull(), F.col("text")).otherwise(left))
+    out = out.where(F.col("__line_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__line_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

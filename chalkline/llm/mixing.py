@@ -116,13 +116,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the sampled documents. The cells' rates are bounded and broadcast, so documents are not joined with themselves."""
     plain = labelled(docs)
     rates, _ = written(cell_rates(plain), "mix-rates")
-    own = rates.select(F.col("s").alias("_own")).distinct()
+    own = rates.select(F.col("s").alias("__mix_own")).distinct()
     text = F.coalesce("text", F.lit(""))
     lang = F.coalesce("lang", F.lit("(none)"))
-    keyed = docs.withColumns({"_src": F.coalesce("source", F.lit("(none)")), "_l": F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit(OTHER)), "_t": topic(text), "_words": text.rlike(WORD)})
-    keyed = keyed.join(F.broadcast(own), keyed["_src"] == own["_own"], "left").withColumn("_s", F.coalesce("_own", F.lit(OTHER)))
-    keyed = keyed.join(F.broadcast(rates.select(F.col("s").alias("_s"), F.col("l").alias("_l"), F.col("t").alias("_t"), F.col("probability").alias("_p"))), ["_s", "_l", "_t"], "left")
-    return keyed.where(F.col("_words") & (_uniform(F.col("doc_id").cast("long")) < F.coalesce("_p", F.lit(0.0)))).select(*docs.columns)
+    keyed = docs.withColumns({"__mix_src": F.coalesce("source", F.lit("(none)")), "__mix_l": F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit(OTHER)), "__mix_t": topic(text), "__mix_words": text.rlike(WORD)})
+    keyed = keyed.join(F.broadcast(own), keyed["__mix_src"] == own["__mix_own"], "left").withColumn("__mix_s", F.coalesce("__mix_own", F.lit(OTHER)))
+    keyed = keyed.join(F.broadcast(rates.select(F.col("s").alias("__mix_s"), F.col("l").alias("__mix_l"), F.col("t").alias("__mix_t"), F.col("probability").alias("__mix_p"))), ["__mix_s", "__mix_l", "__mix_t"], "left")
+    return keyed.where(F.col("__mix_words") & (_uniform(F.col("doc_id").cast("long")) < F.coalesce("__mix_p", F.lit(0.0)))).select(*docs.columns)
 
 
 def _topic_sql() -> str:

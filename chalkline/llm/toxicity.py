@@ -8,11 +8,13 @@ The kernel is normalised, raised to POWER (a product of kernels is a kernel,
 and it mutes chance likeness; values that start below FLOOR count as 0, so
 most words are ruled out by a bound), and summed over the different words of a sentence,
 which makes it a convolution kernel of sentences. Symbols are bytes of lower-case
-letters; other characters inside a word are dropped ("id*iot"), and runs of
+letters, after a mark for the beginning of the word; other characters inside a word are dropped ("id*iot"), and runs of
 single letters ("i d i o t") are read as one word.
 
-Landmarks are words of the training texts: those found most unevenly in texts
-of the two labels, and some common ones. Landmarks alone enter the Nyström map;
+Landmarks are words and parts of words of the training texts: those found most
+unevenly in texts of the two labels; a long word is
+normalised like a window of the landmark's size, so a stem is found in any
+compound. Landmarks alone enter the Nyström map;
 since the SVM is linear in it, each word has a weight of its own, found once
 for each different word of a block. A sentence's score is the sum of its words'
 weights and the bias, a text's score that of its most toxic sentence,
@@ -37,20 +39,25 @@ from .learning import labelled_sample, platt, sigmoid
 from .storage import table
 
 DECAY, SPAN, POWER, FLOOR = 0.85, 6, 4, 0.55
-LANDMARKS, COMMON = 160, 16
+LANDMARKS = 120
+#: Sizes of the parts of words that may be landmarks, in bytes; a word is compared with one like a window of its size and SLACK more.
+PARTS, SLACK = (5, 6, 7), 2
+#: Share of the toxic sentences in the SVM's loss.
+TOXIC_WEIGHT = 0.08
 #: Landmarks must be this many standard deviations commoner in toxic texts.
-LEAST_Z = 3.5
+LEAST_Z = 6.0
 #: Word weights that a Python worker remembers.
 REMEMBERED = 1 << 20
 #: Labelled rows of each class that the fit may use, and sentences of texts that aren't toxic.
-SAMPLE_PER_CLASS, NEGATIVES = 1500, 12_000
+SAMPLE_PER_CLASS, NEGATIVES = 2500, 12_000
 
 #: Symbols: 26 letters, then bytes of other characters by their low 5 bits, split by kind.
 _SYMBOL = np.full(256, -1, np.int64)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(26)
 _SYMBOL[ord("A") : ord("Z") + 1] = np.arange(26)
 _SYMBOL[0x80:0xC0] = 26 + np.arange(64) % 32
-_SYMBOL[0xC0:] = 58 + np.arange(64) % 6
+_SYMBOL[0xC0:] = 58 + np.arange(64) % 5
+_SYMBOL[ord("^")] = 63  # begins each unit
 _SYMBOLS = 64
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -75,7 +82,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
     accent = np.zeros(len(data), bool)  # upper-case letters of Latin-1 in UTF-8
     accent[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     lower[accent] += 32
-    keep = (_SYMBOL[data] >= 0) | SPACE[data]
+    keep = (_SYMBOL[data] >= 0) & (data != ord("^")) | SPACE[data]
     ends = np.concatenate([[0], np.cumsum(_ENDS[data])])
     new = np.concatenate([[0], np.cumsum(keep)])
     packed, at = lower[keep], np.flatnonzero(keep)
@@ -91,8 +98,18 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
         new = np.concatenate([[0], np.cumsum(stay)])
         head = ~joined
         stop = np.append(np.flatnonzero(head)[1:], len(single)) - 1
-        return Units(packed[stay], new[w.start[head]], new[w.end[stop]], w.row[head], sentence[head])
-    return Units(packed, w.start, w.end, w.row, sentence)
+        return _begun(packed[stay], new[w.start[head]], new[w.end[stop]], w.row[head], sentence[head])
+    return _begun(packed, w.start, w.end, w.row, sentence)
+
+
+def _begun(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, sentence: np.ndarray) -> Units:
+    """The units one after another, each after a "^"."""
+    n = end - start + 1
+    stop = np.cumsum(n)
+    index = np.repeat(start - 1 - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+    out = data[np.maximum(index, 0)]
+    out[stop - n] = ord("^")
+    return Units(out, stop - n, stop, row, sentence)
 
 
 def _distinct(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,10 +159,12 @@ class Landmarks:
         np.add.at(self.rows, (at, w), x)
         self.rows /= np.maximum(_norms(np.diff(first)), 1e-9)[None, :].astype(np.float32)
         self.most = np.append(self.rows.max(axis=1), np.float32(0))  # the last is for subsequences of no landmark
+        self.sizes = np.diff(first)
 
     def likeness(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words that are like any landmark, and for each of them the kernel with every landmark, to the power POWER."""
-        norms = _norms(np.diff(first))
+        length = np.diff(first)
+        norms = _norms(np.minimum(length, self.sizes.min() + SLACK))
         bound = np.zeros(len(first) - 1)
         found = []
         for w, c, x in _features(symbols, first):
@@ -173,7 +192,7 @@ class Landmarks:
             b = begin[lo : lo + step]
             stop = begin[lo + step] if lo + step < len(begin) else len(word)
             out[lo : lo + step] = np.add.reduceat(self.rows[slot[b[0] : stop]] * weight[b[0] : stop, None], b - b[0], axis=0)
-        out /= norms[word[begin]][:, None].astype(np.float32)
+        out /= _norms(np.minimum(length[word[begin]][:, None], self.sizes[None, :] + SLACK).ravel()).reshape(out.shape).astype(np.float32)
         out[out < FLOOR] = 0
         some = out.any(axis=1)
         return word[begin][some], np.minimum(out[some], 1) ** POWER
@@ -226,41 +245,95 @@ class ToxicityModel:
         return sigmoid(self.a * self.raw(data, offsets) + self.b)
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of a block, and of all their parts of PARTS bytes and themselves: start, end, row and hash."""
+    u = units(data, offsets)
+    n = u.end - u.start
+    starts, sizes, rows = [u.start[n >= PARTS[0]]], [n[n >= PARTS[0]]], [u.row[n >= PARTS[0]]]
+    for k in PARTS:
+        m = np.maximum(0, n - k + 1) * (n > k)
+        which = np.repeat(np.arange(len(n)), m)
+        starts.append(u.start[which] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m))
+        sizes.append(np.full(len(which), k))
+        rows.append(u.row[which])
+    start, size, row = map(np.concatenate, (starts, sizes, rows))
+    return u, start, start + size, row, span_hash(running(_BYTES[u.data]), start, start + size)
+
+
+def _found(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of parts and the number of texts that hold each; only those among the given ones, if any are given."""
+    total, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
+        _, _, _, row, h = _parts(data, offsets)
+        if among is not None:
+            at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+            row, h = row[among[at] == h], h[among[at] == h]
+        _, first = np.unique(h ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+        part, n = np.unique(h[first], return_counts=True)
+        total, back = np.unique(np.concatenate([total, part]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(total)).astype(np.int64)
+    return total, counts
+
+
+def _contexts(texts: list[str], wanted: np.ndarray) -> np.ndarray:
+    """For each of the parts wanted (sorted) the number of different contexts, a word before and one after, that it has; copies of a text add none."""
+    seen = np.zeros((0, 2), np.uint64)
+    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
+        u, start, _, _, h = _parts(data, offsets)
+        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+        hit = np.flatnonzero(wanted[at] == h)
+        unit = np.searchsorted(u.start, start[hit], "right") - 1
+        whole = span_hash(running(_BYTES[u.data]), u.start, u.end)
+        near = mix(np.append(whole, np.uint64(0))[unit - 1]) ^ np.append(whole, np.uint64(0))[unit + 1]
+        seen = np.unique(np.concatenate([seen, np.stack([at[hit].astype(np.uint64), near], axis=1)]), axis=0)
+    return np.bincount(seen[:, 0].astype(np.int64), minlength=len(wanted))
+
+
+def _overlap(a: bytes, b: bytes) -> bool:
+    """Whether they share a stretch of four bytes, or nearly all of the shorter one."""
+    k = min(4, len(a) - 1, len(b) - 1)
+    return any(a[i : i + k] in b for i in range(len(a) - k + 1))
+
+
 def _choose(texts: list[str], y: np.ndarray) -> list[bytes]:
-    """Landmarks: the words found most unevenly in texts of the two labels, then the most common other ones."""
-    column = pa.array(texts, pa.large_string())
-    words, labels = [], []
-    for lo, _, data, offsets in blocks(column):
-        u = units(data, offsets)
-        long = u.end - u.start >= 3
-        h = span_hash(running(_BYTES[u.data]), u.start, u.end)[long]
-        row = u.row[long]
-        _, at = np.unique(h ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
-        words.append(h[at])
-        labels.append(y[lo + row[at]])
-    if not words:
+    """Landmarks: the words and parts of words found most unevenly in texts of the two labels, none much like another."""
+    toxic, harmless = [t for t, x in zip(texts, y) if x == 1], [t for t, x in zip(texts, y) if x == 0]
+    part, found1 = _found(toxic)
+    part, found1 = part[found1 >= 3], found1[found1 >= 3]
+    if not len(part):
+        return []
+    known, n = _found(harmless, part)
+    found0 = np.zeros(len(part), np.int64)
+    found0[np.searchsorted(part, known)] = n
+    n0, n1 = max(1, len(harmless)), max(1, len(toxic))
+
+    def uneven(c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+        c0, c1 = np.minimum(c0, n0), np.minimum(c1, n1)
+        p = (c0 + c1) / (n0 + n1)
+        return (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(1e-12, p * (1 - p)) * (1 / n0 + 1 / n1))
+
+    z = uneven(found0, found1)
+    marked = np.lexsort((part, -z))[: 40 * LANDMARKS]
+    marked = np.sort(marked[z[marked] >= LEAST_Z])
+    if not len(marked):
         return []
-    word, back = np.unique(np.concatenate(words), return_inverse=True)
-    label = np.concatenate(labels)
-    found1 = np.bincount(back[label == 1], minlength=len(word))
-    found0 = np.bincount(back[label == 0], minlength=len(word))
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    p = (found0 + found1) / (n0 + n1)
-    z = (found1 / n1 - found0 / n0) / np.sqrt(np.maximum(1e-12, p * (1 - p)) * (1 / n0 + 1 / n1))
-    z[found1 < 3] = -np.inf
-    marked = np.lexsort((word, -z))[:LANDMARKS]
+    z[marked] = uneven(_contexts(harmless, part[marked]), np.minimum(found1[marked], _contexts(toxic, part[marked])))
     marked = marked[z[marked] >= LEAST_Z]
-    common = np.lexsort((word, -found0))[: LANDMARKS + COMMON]
-    common = common[~np.isin(common, marked)][:COMMON]
-    wanted, names = word[np.concatenate([marked, common])], {}
-    for _, _, data, offsets in blocks(column):
-        u = units(data, offsets)
-        h = span_hash(running(_BYTES[u.data]), u.start, u.end)
-        for i in np.flatnonzero(np.isin(h, wanted)):
-            names.setdefault(int(h[i]), u.data[u.start[i] : u.end[i]].tobytes())
-        if len(names) == len(wanted):
-            break
-    return [names[int(h)] for h in wanted] if len(marked) else []
+    if not len(marked):
+        return []
+    wanted, names = part[marked], {}
+    for _, _, data, offsets in blocks(pa.array(toxic, pa.large_string())):
+        u, start, end, _, h = _parts(data, offsets)
+        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+        for i in np.flatnonzero(wanted[at] == h):
+            names.setdefault(int(h[i]), u.data[start[i] : end[i]].tobytes())
+    out: list[bytes] = []
+    ranked = sorted(marked, key=lambda i: (-round(z[i], 1), -len(names[int(part[i])]), names[int(part[i])]))
+    for i in ranked:
+        name = names[int(part[i])]
+        if len(out) < LANDMARKS and not any(_overlap(name, x) for x in out):
+            out.append(name)
+    return out
 
 
 def _sentences(texts: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,9 +362,9 @@ def _sentences(texts: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarr
 
 
 def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 500, c: float = 3000.0) -> np.ndarray:
-    """Linear SVM with squared hinge loss, classes weighing the same, by accelerated gradient steps. Row i counts times[i] times. The last weight is the bias."""
+    """Linear SVM with squared hinge loss by accelerated gradient steps; the toxic rows together weigh TOXIC_WEIGHT. Row i counts times[i] times. The last weight is the bias."""
     t = np.where(y == 1, 1.0, -1.0).astype(np.float32)
-    weight = c * times * np.where(y == 1, 0.5 / max(1, times[y == 1].sum()), 0.5 / max(1, times[y == 0].sum()))
+    weight = c * times * np.where(y == 1, TOXIC_WEIGHT / max(1, times[y == 1].sum()), (1 - TOXIC_WEIGHT) / max(1, times[y == 0].sum()))
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     weight = weight.astype(np.float32)
     bound = np.float32(2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + 1)
@@ -328,7 +401,7 @@ def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds:
     x, label = k @ root.astype(np.float32), y[learn][owner]
     negative, positive = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
     even = negative[:: max(1, -(-len(negative) // (NEGATIVES // 2)))]
-    lead = k[:, : max(1, len(words) - COMMON)].max(axis=1, initial=0)  # the first round's witness: the sentence with the likeliest landmark
+    lead = k.max(axis=1, initial=0)  # the first round's witness: the sentence with the likeliest landmark
     plain = int(others[y[learn] == 0].sum())  # harmless sentences like no landmark: rows of zeros
     w = None
     for _ in range(rounds):
@@ -362,7 +435,7 @@ def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     sources are not inputs of the score; other columns of documents are not
     read. A row counts as often as it occurs. Texts are read whole.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)  # LANDMARKS + COMMON words, whatever the input
+    shipped = documents.sparkSession.sparkContext.broadcast(model)  # LANDMARKS words, whatever the input
 
     def score(batches):
         for batch in batches:
