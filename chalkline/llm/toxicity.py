@@ -46,6 +46,8 @@ PARTS, SLACK = (5, 6, 7), 2
 TOXIC_WEIGHT = 0.08
 #: Landmarks must be this many standard deviations commoner in toxic texts.
 LEAST_Z = 6.0
+#: And in harmless texts at most this share as common as in toxic ones.
+MOST_HARMLESS = 0.1
 #: Word weights that a Python worker remembers.
 REMEMBERED = 1 << 20
 #: Labelled rows of each class that the fit may use, and sentences of texts that aren't toxic.
@@ -318,7 +320,7 @@ def _choose(texts: list[str], y: np.ndarray) -> list[bytes]:
     if not len(marked):
         return []
     z[marked] = uneven(_contexts(harmless, part[marked]), np.minimum(found1[marked], _contexts(toxic, part[marked])))
-    marked = marked[z[marked] >= LEAST_Z]
+    marked = marked[(z[marked] >= LEAST_Z) & (found0[marked] * n1 <= MOST_HARMLESS * found1[marked] * n0)]
     if not len(marked):
         return []
     wanted, names = part[marked], {}
