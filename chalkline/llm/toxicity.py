@@ -244,7 +244,13 @@ class ToxicityModel:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.landmarks is None:
             return np.zeros(len(offsets) - 1)
-        return sigmoid(self.a * self.raw(data, offsets) + self.b)
+        return sigmoid(self.a * _flattened(self.raw(data, offsets)) + self.b)
+
+
+def _flattened(z: np.ndarray) -> np.ndarray:
+    """Scores beyond the margin, ten times closer to it; else single texts of many near words would set the slope of the calibration."""
+    inner = np.clip(z, -1, 1)
+    return inner + 0.1 * (z - inner)
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -338,6 +344,24 @@ def _choose(texts: list[str], y: np.ndarray) -> list[bytes]:
     return out
 
 
+def _confirmed(words: list[bytes], texts: list[str], y: np.ndarray) -> list[bytes]:
+    """The landmarks that texts not used for choosing them don't contradict: those among them that are rare there in harmless texts too."""
+    if not words or not len(texts):
+        return words
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    h = span_hash(running(_BYTES[data]), end - np.array([len(w) for w in words]), end)
+    known, rate = np.sort(h), []
+    for side in (0, 1):
+        own = [t for t, x in zip(texts, y) if x == side]
+        part, n = _found(own, known)
+        count = np.zeros(len(known))
+        count[np.searchsorted(known, part)] = n
+        rate.append(count / max(1, len(own)))
+    good = rate[0] <= MOST_HARMLESS * rate[1]
+    return [w for w, x in zip(words, h) if good[np.searchsorted(known, x)]]
+
+
 def _sentences(texts: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kernel rows of the sentences that are like any landmark, the text of each, and the number of other sentences of each text."""
     rows, owner, others = [], [], np.zeros(len(texts), np.int64)
@@ -390,6 +414,7 @@ def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds:
         tune = np.zeros(len(y), bool)
     learn = np.flatnonzero(~tune)
     words = _choose([texts[i] for i in learn], y[learn])
+    words = _confirmed(words, [texts[i] for i in np.flatnonzero(tune)], y[tune])
     if not words:
         return ToxicityModel(None, np.zeros(0), 0.0, 1.0, 0.0)
     marks = Landmarks(words)
@@ -416,7 +441,7 @@ def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds:
     model = ToxicityModel(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     own = np.flatnonzero(tune) if tune.any() else learn
     z = np.concatenate([model.raw(d, o) for _, _, d, o in blocks(pa.array([texts[i] for i in own], pa.large_string()))])
-    model.a, model.b = platt(z, y[own])
+    model.a, model.b = platt(_flattened(z), y[own])
     if prior is not None and 0 < prior < 1:
         model.b += float(np.log(prior / (1 - prior)) - np.log(y[own].mean() / (1 - y[own].mean())))
     return model
