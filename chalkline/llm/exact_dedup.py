@@ -88,13 +88,12 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256) -> DataFrame:
     keyed = docs.select("doc_id", normalised(F.col("text")).alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("n_points")).withColumn("digest", digest(F.col("norm")))
 
     apart = _collided(keyed, last)
-    members = keyed.select("doc_id", "digest", F.lit(None).cast("string").alias("norm")) if apart is None else (
-        keyed.join(apart.select("digest", F.lit(True).alias("hit")).distinct(), "digest", "left").select("doc_id", "digest", F.when(F.col("hit"), F.col("norm")).alias("norm")))
-    out = members.join(last, "digest", "left")
-    if apart is not None:
-        out = (out.withColumnsRenamed({"group_size": "g", "keep_id": "k"}).join(apart, (out.digest == apart.digest) & (out.norm == apart.norm), "left")
-               .select("doc_id", out.digest, out.norm, F.when(apart.digest.isNull(), F.col("k")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", "g").alias("group_size")))
-        out = out.withColumn("digest", F.when(F.col("norm").isNull(), F.col("digest")).otherwise(sha256(F.col("norm"))))
+    if apart is None:
+        out = keyed.select("doc_id", "digest").join(last, "digest", "left")
+    else:  # (digest, text) is the key wherever a digest has several texts
+        groups = apart.select(F.col("digest").alias("d"), F.col("norm").alias("n"), F.col("group_size").alias("own_size"), F.col("keep_id").alias("own_keep"))
+        out = keyed.join(last, "digest", "left").join(groups, (F.col("digest") == F.col("d")) & (F.col("norm") == F.col("n")), "left")
+        out = out.select("doc_id", sha256(F.col("norm")).alias("digest"), F.when(F.col("d").isNull(), F.col("keep_id")).otherwise(F.col("own_keep")).alias("keep_id"), F.coalesce("own_size", "group_size").alias("group_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
