@@ -87,6 +87,29 @@ def spoken(replies: DataFrame) -> DataFrame:
     return s.select("run_id", "seg_idx", (F.col("s.start") / 1000.0).alias("start"), (F.col("s.end") / 1000.0).alias("end"), F.trim("s.text").alias("text"))
 
 
+def spoken_by_words(replies: DataFrame) -> DataFrame:
+    """Words (run_id, word_idx, text, start_ms, end_ms) of replies (run_id, words): what operators.sentences groups or aligns.
+
+    The cascade for replies of this kind is: words grouped to sentences where
+    there is a text, or else utterances, or else one segment for each word.
+    """
+    w = replies.select("run_id", F.posexplode("words").alias("word_idx", "w"))
+    return w.select("run_id", F.col("word_idx").cast("long").alias("word_idx"), "w.text", F.col("w.start").alias("start_ms"), F.col("w.end").alias("end_ms"))
+
+
+def polled(ask, waits: list[float], sleep) -> dict:
+    """The first answer of ask() whose status is final; sleeps between asking, and gives up when the waits are used up."""
+    for wait in [*waits, None]:
+        got = ask()
+        if got.get("status") == "completed":
+            return got
+        if got.get("status") == "error":
+            raise RuntimeError(got.get("error") or "the service failed")
+        if wait is not None:
+            sleep(wait)
+    raise TimeoutError("no final status")
+
+
 def summary(spark: SparkSession, path: str, schema: str = "video string, status string, run_id string, output_dir string, error string") -> DataFrame:
     """The experiment summary at path; empty if there is none."""
     try:

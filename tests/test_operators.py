@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.operators import align, dedup, folds, providers, runs, search, sentences
+from chalkline.operators import align, dedup, folds, media, providers, runs, search, sentences
 from chalkline.sources import files
 from chalkline.streaming.incremental import keep_stream, latest_states
 
@@ -154,3 +154,27 @@ def test_streams(spark, tmp_path):
     assert sorted((r.run_id, r.timestamp) for r in spark.table("kept").where("kept").collect()) == [("a", 0.0), ("a", 2.0), ("b", 0.0)]
     states = spark.createDataFrame([("a", 1, "running"), ("a", 0, "queued")], "run_id string, seq int, status string")
     assert latest_states(states).first().status == "running"
+
+
+def test_media(spark):
+    rows = spark.createDataFrame([("a", 0, "one two", "one two", "B"), ("a", 1, "three", "three", "")], "run_id string, seg_idx long, text string, fused_text string, board_text string")
+    v = media.embedded(rows).orderBy("seg_idx").collect()
+    assert v[0].document == "one two | board: B" and v[1].document == "three" and len(v[0].embedding) == 64
+    assert search.top_k(media.embedded(rows), providers.hashed_vector("three")).first().seg_idx == 1
+    wanted = spark.createDataFrame([("a", "en, de")], "run_id string, languages string")
+    out = {r.language: (r.chunks, r.audio, r.error) for r in media.podcasts(rows, wanted, width=8).collect()}
+    assert set(out) == {"en", "de"} and all(n > 1 and error is None and "three" in audio for n, audio, error in out.values())
+    frames = spark.createDataFrame([(0, True, "x"), (1, False, "y")], "id int, kept boolean, request string")
+    got = {r.id: (r.text, r.confidence) for r in media.recognised(frames, providers.echo).collect()}
+    assert got == {0: ("x", 0.9), 1: ("", 0.0)}
+    assert media.answer("why?") == "why?"
+
+
+def test_polling():
+    replies = iter([{"status": "queued"}, {"status": "processing"}, {"status": "completed", "text": "x"}])
+    slept = []
+    assert files.polled(lambda: next(replies), [5.0] * 9, slept.append)["text"] == "x" and slept == [5.0, 5.0]
+    with pytest.raises(RuntimeError):
+        files.polled(lambda: {"status": "error"}, [], slept.append)
+    with pytest.raises(TimeoutError):
+        files.polled(lambda: {"status": "queued"}, [], slept.append)
