@@ -16,7 +16,7 @@ of a group of near copies; a bucket that still holds several classes is then
 divided by SPLIT_ROWS further components, in ALTERNATIVES ways, and treated
 likewise, down to LEVELS divisions. Similar nodes agree in the further
 components too (two of similarity 0.8 stay together in one of the ways with
-probability 0.76 for each of the 8 buckets that they share on average), so what
+probability 0.65 for each of the 8 buckets that they share on average), so what
 is compared shrinks to those that matter, and a group of n near copies costs
 rows in proportion to n, not to n * n. Links between similar texts only get lost
 if neither is led by, nor small enough to meet, the other in any bucket, and no
@@ -37,7 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability 7e-5.
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-SMALL, SPLIT_ROWS, ALTERNATIVES, LEVELS = 8, 3, 2, 3
+SMALL, SPLIT_ROWS, ALTERNATIVES, LEVELS = 8, 4, 2, 2
 _U = np.uint64
 
 
