@@ -16,6 +16,9 @@ doc_id and line; the earliest stays. Lines are judged on the input.
    line of each variant is the only one to compare with: a group of n lines
    costs n rows, never n * n.
 4. The edit distance of each line and the earlier one it met is verified.
+
+What grows with the corpus is joined by sorting on both sides, at every size, and
+never broadcast.
 """
 
 from __future__ import annotations
@@ -125,24 +128,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     halves = distinct.select(F.explode("halves").alias("half"), "h1", "doc", "line")
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    asked = halves.join(shared, "half", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("asked"))
-    rows, p_rows = written(_neighbourhoods(docs.join(asked, "doc").select("doc", "text", "asked")), "line-variants")
+    asked = halves.join(shared.hint("merge"), "half", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("asked"))
+    rows, p_rows = written(_neighbourhoods(docs.join(asked.hint("merge"), "doc").select("doc", "text", "asked")), "line-variants")
 
     place = F.struct("doc", "line")
-    common = rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("pos") < 0, place)).alias("whole"), F.min(F.when(F.col("pos") >= 0, place)).alias("cut")).where("n > 1")
-    same = rows.groupBy("variant", "pos").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("pos >= 0 AND m > 1").select("variant", "pos", "first")
-    some = rows.select("variant", "pos", "doc", "line").join(common.select("variant", "whole", "cut"), "variant").join(same, ["variant", "pos"], "left")
+    twice = rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("variant")
+    some, p_some = written(rows.join(twice.hint("merge"), "variant", "left_semi"), "line-common")
+    common = some.groupBy("variant").agg(F.min(F.when(F.col("pos") < 0, place)).alias("whole"), F.min(F.when(F.col("pos") >= 0, place)).alias("cut"))
+    same = some.where("pos >= 0").groupBy("variant", "pos").agg(F.min(place).alias("first"))
+    some = some.select("variant", "pos", "doc", "line").join(common.hint("merge"), "variant").join(same.hint("merge"), ["variant", "pos"], "left")
     met = some.select("doc", "line", F.explode(F.when(F.col("pos") < 0, F.array("cut")).otherwise(F.array("whole", "first"))).alias("w")).where("w IS NOT NULL").where(F.col("w") < place)
     met = met.select("doc", "line", F.col("w.doc").alias("d"), F.col("w.line").alias("l")).distinct()
     texts = rows.where("pos < 0").select("doc", "line", "text")
-    pairs = met.join(texts, ["doc", "line"]).join(texts.select(F.col("doc").alias("d"), F.col("line").alias("l"), F.col("text").alias("other")), ["d", "l"])
+    pairs = met.hint("merge").join(texts, ["doc", "line"]).join(texts.select(F.col("doc").alias("d"), F.col("line").alias("l"), F.col("text").alias("other")).hint("merge"), ["d", "l"])
     near = pairs.where(F.levenshtein("text", "other", MAX_EDITS) >= 0).select("doc", "line").distinct()
     near, p_near = written(near, "line-near")
-    drop(spark, p_rows)
+    drop(spark, p_rows, p_some)
 
-    later = distinct.select("h1", "h2", "doc", "line", "n").join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").where("n > 1 OR near")
+    later = distinct.select("h1", "h2", "doc", "line", "n").join(near.withColumn("near", F.lit(True)).hint("merge"), ["doc", "line"], "left").where("n > 1 OR near")
     later = later.select("h1", "h2", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occurrences.select("h1", "h2", "doc", "line").join(later, ["h1", "h2"]).where("near OR doc <> d OR line <> l").groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    gone = occurrences.select("h1", "h2", "doc", "line").join(later.hint("merge"), ["h1", "h2"]).where("near OR doc <> d OR line <> l").groupBy("doc").agg(F.collect_set("line").alias("gone"))
     gone, _ = written(gone, "line-gone")
     drop(spark, p_all, p_distinct, p_near)
     return gone
@@ -178,7 +183,7 @@ def line_dedup(documents: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in got], pa.string()), pa.array([x[0] for x in got], pa.string())],
                 ["doc_id", "n_lines", "n_removed", "kept_sha256", "text"])
 
-    out = docs.join(removed_lines(docs.select("doc", "text")), "doc", "left").select("doc_id", "text", "gone")
+    out = docs.join(removed_lines(docs.select("doc", "text")).hint("merge"), "doc", "left").select("doc_id", "text", "gone")
     return out.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string")
 
 
@@ -189,7 +194,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents without repeated lines; those of which only blanks would be left go. n_chars follows the text."""
     gone = removed_lines(_keyed(docs)).withColumnsRenamed({"doc": "__line_doc", "gone": "__line_gone"})
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["__line_doc"], "left")
+    joined = docs.join(gone.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["__line_doc"], "left")
     pieces = F.split(F.col("text"), "\n")
     left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("__line_gone"), i)), "\n")
     out = joined.withColumn("text", F.when(F.col("__line_gone").isNull(), F.col("text")).otherwise(left))
