@@ -12,15 +12,12 @@ Texts of the same words are one node from the start. Nodes that agree in a band
 of ROWS components share a bucket. Buckets of up to SMALL nodes are verified
 pair by pair. In a larger one the node that meets most others in all its
 buckets leads, and the members are verified against it, which finds the centre
-of a group of near copies; a bucket that still holds several classes is then
-divided by SPLIT_ROWS further components, in ALTERNATIVES ways, and treated
-likewise, down to LEVELS divisions. Similar nodes agree in the further
-components too (two of similarity 0.8 stay together in one of the ways with
-probability 0.65 for each of the 8 buckets that they share on average), so what
-is compared shrinks to those that matter, and a group of n near copies costs
-rows in proportion to n, not to n * n. Links between similar texts only get lost
-if neither is led by, nor small enough to meet, the other in any bucket, and no
-leader or third text links them.
+of a group of near copies. Buckets that then still hold several classes are cut
+into blocks of about BLOCK nodes, and all pairs of nodes of two classes are
+verified, block against block, each pair in the first band that it shares; the
+blocks of a bucket's largest class don't meet each other. So every pair that
+shares a bucket is verified or in one class already, and a text is sent once for
+each block that it meets instead of once for each node.
 """
 
 from __future__ import annotations
@@ -37,7 +34,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability 7e-5.
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-SMALL, SPLIT_ROWS, ALTERNATIVES, LEVELS = 8, 4, 2, 2
+SMALL, BLOCK = 8, 64
 _U = np.uint64
 
 
@@ -122,46 +119,74 @@ def _describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n_words long, e1 long, e2 long, bands array<long>")
 
 
+def _sets(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted set of each text."""
+    out = []
+    for lo, hi, data, offsets in blocks(column):
+        row, key, weight = shingles(Words(data, offsets))
+        cut = np.searchsorted(row, np.arange(hi - lo + 1))
+        out += [(key[i:j], weight[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+    return out
+
+
 def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of pairs (a, b, ta, tb) that are similar enough."""
 
-    def sets(column):
-        out = []
-        for lo, hi, data, offsets in blocks(column):
-            row, key, weight = shingles(Words(data, offsets))
-            cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            out += [(key[i:j], weight[i:j]) for i, j in zip(cut[:-1], cut[1:])]
-        return out
-
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                good = [similarity(x, y) >= threshold for x, y in zip(sets(part.column(2)), sets(part.column(3)))]
+                good = [similarity(x, y) >= threshold for x, y in zip(_sets(part.column(2)), _sets(part.column(3)))]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _divided(nodes: DataFrame) -> DataFrame:
-    """(band, doc): the buckets of nodes (doc, text, keys) divided by further components; each bucket has its own choice of them."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = batch.column(2)
-            bounds, flat = keys.offsets.to_numpy().astype(np.int64), keys.values.to_numpy(zero_copy_only=False).view(_U)
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                signature = signatures(*shingles(Words(data, offsets)), hi - lo)
-                row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
-                own = flat[bounds[lo] : bounds[hi]]
-                for way in range(ALTERNATIVES):
-                    new = mix(own + _U(way + 1))
-                    for r in range(SPLIT_ROWS):
-                        new = mix(new ^ signature[row, (mix(own ^ _U(1000 * way + r + 1)) % _U(COMPONENTS)).astype(np.int64)])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(new)), pa.array(ids[lo + row], pa.int64())], ["band", "doc"])
-
-    return nodes.mapInArrow(run, "band long, doc long")
+def _classed(met: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, doc, class) of the members of large buckets."""
+    return met.where(F.col("size") > SMALL).join(label.select(F.col("id").alias("doc"), "root"), "doc", "left").select("band", "doc", F.coalesce("root", "doc").alias("class"))
+
+
+def _faced(classed: DataFrame) -> DataFrame:
+    """(band, x, y, doc, class, me): the members of buckets of several classes, once for each pair x <= y of blocks that meet; me is the member's own."""
+    tally = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = tally.groupBy("band").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    cut = mixed.select("band", F.col("m.class").alias("major"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).alias("minors"), F.ceil(F.col("m.n") / BLOCK).alias("majors"))
+    own, at = F.col("class") == F.col("major"), F.xxhash64("doc")
+    placed = classed.join(cut, "band").withColumn("me", F.when(own, F.col("minors") + F.pmod(at, "majors")).otherwise(F.pmod(at, "minors")))
+    facing = F.explode(F.sequence(F.lit(0).cast("long"), F.when(own, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1))
+    return placed.withColumn("other", facing).select("band", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"), "doc", "class", "me")
+
+
+def _verify_blocks(faced: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of two classes, of faced (band, x, y, doc, class, me, text, bands)."""
+
+    def run(key, part):
+        band, lo, hi = (k.as_py() for k in key)
+        doc, kind, me = (part.column(c).to_numpy() for c in ("doc", "class", "me"))
+        keys = part.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sets = [s for chunk in part.column("text").chunks for s in _sets(chunk)]
+        here = int(np.flatnonzero(keys[0] == band)[0])
+        first = np.concatenate([[0], np.cumsum([len(k) for k, _ in sets])])
+        codes, code = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)
+        mass = np.concatenate([w / w.sum() for _, w in sets])
+        dense, linked, a, b = np.zeros(len(codes)), set(), [], []
+        for i in np.flatnonzero(me == hi):
+            own = slice(first[i], first[i + 1])
+            dense[code[own]] = mass[own]
+            most = np.add.reduceat(np.minimum(mass, dense[code]), first[:-1])  # no similarity is higher
+            dense[code[own]] = 0
+            other = (me == lo) & (kind != kind[i]) & (most >= threshold - 1e-9)
+            for j in np.flatnonzero(other):
+                if (lo == hi and j > i) or (kind[i], kind[j]) in linked or int(np.argmax(keys[i] == keys[j])) != here:
+                    continue
+                if similarity(sets[i], sets[j]) >= threshold:
+                    linked |= {(kind[i], kind[j]), (kind[j], kind[i])}
+                    a.append(max(doc[i], doc[j]))
+                    b.append(min(doc[i], doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return faced.groupBy("band", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,43 +196,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     worded = described.where("n_words > 0")
     nodes, p_nodes = written(worded.groupBy("e1", "e2").agg(F.min(F.struct("doc", "bands")).alias("f")).select("e1", "e2", "f.doc", "f.bands"), "near-nodes")
 
-    members, used = nodes.select(F.explode("bands").alias("band"), "doc"), []
-    texts = fame = tested = label = None
-    for level in range(LEVELS + 1):
-        sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met, p_met = written(members.join(sizes, "band"), "near-met")
-        used.append(p_met)
-        if met.isEmpty():
-            break
-        if not level:
-            fame, p_fame = written(met.groupBy("doc").agg(F.sum("size").alias("fame")), "near-fame")
-            texts, p_texts = written(docs.join(fame.select("doc"), "doc", "left_semi"), "near-texts")
-            used += [p_fame, p_texts]
+    members = nodes.select(F.explode("bands").alias("band"), "doc")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met, p_met = written(members.join(sizes, "band"), "near-met")
+    used, label = [p_met], None
+    if not met.isEmpty():
+        fame, p_fame = written(met.groupBy("doc").agg(F.sum("size").alias("fame")), "near-fame")
+        texts, p_texts = written(docs.join(fame.select("doc"), "doc", "left_semi"), "near-texts")
         small = met.where(F.col("size") <= SMALL).select("band", "doc")
         pairs = small.select("band", F.col("doc").alias("a")).join(small.select("band", F.col("doc").alias("b")), "band").where("a > b").select("a", "b")
         large = met.where(F.col("size") > SMALL).join(fame, "doc")
         heads = large.groupBy("band").agg(F.max(F.struct(F.col("fame"), (-F.col("doc")).alias("neg"))).alias("r")).select("band", (-F.col("r.neg")).alias("lead"))
         led = large.join(heads, "band").where("doc <> lead").select(F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b"))
-        pairs = pairs.unionByName(led).distinct()
-        if level:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                pairs = pairs.join(label.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-            pairs = pairs.where("root_a <> root_b").select("a", "b")
-        pairs, p_pairs = written(pairs, "near-pairs")
-        used.append(p_pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs, p_pairs = written(pairs.unionByName(led).distinct(), "near-pairs")
         full = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         found, p_found = written(_verify(full, threshold), "near-links")
-        label, new = _relabelled(label, found)
-        used += [p_found, *new]
-        if level == LEVELS:
-            break
-        classed = met.where(F.col("size") > SMALL).join(label.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("class", F.coalesce("root", "doc"))
-        mixed = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band")
-        kept = classed.join(mixed, "band", "left_semi").groupBy("doc").agg(F.collect_list("band").alias("keys"))
-        members, p_members = written(_divided(texts.join(kept, "doc").select("doc", "text", "keys")), "near-divided")
-        used.append(p_members)
+        label, new = _relabelled(None, found)
+        used += [p_fame, p_texts, p_pairs, p_found, *new]
+        faced, p_faced = written(_faced(_classed(met, label)), "near-faced")
+        used.append(p_faced)
+        if not faced.isEmpty():
+            full = faced.join(texts.join(nodes.select("doc", "bands"), "doc").select("doc", "text", "bands"), "doc")
+            found, p_found = written(_verify_blocks(full, threshold), "near-links")
+            label, new = _relabelled(label, found)
+            used += [p_found, *new]
 
     out = described.select("doc", "n_words", "e1", "e2").join(nodes.select("e1", "e2", F.col("doc").alias("node")), ["e1", "e2"], "left")
     if label is None:

@@ -50,6 +50,29 @@ def test_a_large_group_is_one_class(spark):
     assert {r.class_id for r in out} == {0} and [r.doc_id for r in out if r.kept] == [0]
 
 
+def test_pairs_within_a_family_just_below_the_threshold(spark):
+    """400 texts of one template (similarity 0.78), 60 of them with a partner (0.815) that is like no third text."""
+    rng = random.Random(8)
+    base, rows = h.prose(rng, 250), []
+
+    def changed(x, n, name):
+        x = x[:]
+        for k, i in enumerate(rng.sample(range(0, 250, 6), n)):
+            x[i] = f"{name}x{k}"
+        return x
+
+    members = [changed(base, 3, f"m{i}") for i in range(400)]
+    for i, x in enumerate(members):
+        rows.append((i, " ".join(x)))
+    rows += [(1000 + i, " ".join(changed(members[i], 5, f"p{i}"))) for i in range(60)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(h.documents(spark, rows)).collect()}
+    near = h.probability_jaccard
+    sets = {i: h.weighted_shingles(t) for i, t in rows if i < 20 or 1000 <= i < 1020}
+    linked = {(i, j) for i in sets for j in sets if i < j and near(sets[i], sets[j]) >= 0.8}
+    assert {(i, 1000 + i) for i in range(20)} <= linked
+    assert [i for i in range(60) if got[1000 + i] != got[i]] == []
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
