@@ -1,10 +1,11 @@
 """License scans: ordered signature rules.
 
 A rule is a regular expression with a priority, a label, a confidence and a
-literal keyword that any match contains. Rules are made of NAMES (licences)
-and FORMS (ways to refer to one). A text is searched with a rule only if it
-contains the rule's keyword; keywords are looked for in the bytes of a whole
-block at once, so texts without any cost next to nothing. Detections are taken
+literal keyword that any match contains, once runs of white space are folded to
+one blank. Rules are made of NAMES (licences) and FORMS (ways to refer to one). A
+text is searched with a rule only if its folded copy contains the rule's keyword;
+GATES, which are single words or hold no flexible white space, are looked for in
+the bytes of a whole block at once, so texts without any cost next to nothing. Detections are taken
 in the order of priority, and one whose interval lies within that of a taken
 detection is suppressed.
 
@@ -98,7 +99,7 @@ class Rule:
     label: str
     pattern: re.Pattern
     confidence: float
-    keywords: tuple[str, ...]  # any of them is in each match
+    keywords: tuple[str, ...]  # any of them is in each match whose white space is folded
 
 
 @lru_cache(maxsize=1)
@@ -118,7 +119,8 @@ def keywords() -> list[str]:
 
 def scan(text: str) -> list[tuple[str, int, int, float]]:
     """Detections (label, start, end, confidence) in a lower-cased text, in the order of their starts."""
-    present = {k for k in keywords() if k in text}
+    folded = re.sub(r"\s+", " ", text)  # keywords hold single blanks where patterns take any white space
+    present = {k for k in keywords() if k in folded or k in text}
     taken: list[tuple[str, int, int, float]] = []
     for r in rules():
         if present.isdisjoint(r.keywords):
@@ -146,7 +148,7 @@ def _phrase_hashes() -> list[tuple[np.ndarray, str]]:
 
 
 #: One of these is in every match of a rule; texts without any are not searched.
-GATES = [b"licen", b"gpl", b"gfdl", b"cddl", b"eupl", b"mpl", b"wtfpl", b"odbl", b"cc0", b"cc by", b"cc-by", b"commons", b"attribution", b"domain", b"all rights", b"proprietary", b"eula", b"permission", b"redistribution", b"free software", b"as-is", b"unencumbered"]
+GATES = [b"licen", b"gpl", b"gfdl", b"cddl", b"eupl", b"mpl", b"wtfpl", b"odbl", b"cc0", b"cc by", b"cc-by", b"commons", b"attribution", b"domain", b"rights", b"proprietary", b"eula", b"permission", b"redistribution", b"software", b"as-is", b"unencumbered"]
 
 
 def _rows_with(data: bytes, offsets: np.ndarray, needles: list[bytes]) -> np.ndarray:

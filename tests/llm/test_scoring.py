@@ -91,6 +91,48 @@ def test_license_priority_and_containment():
     assert licenses.scan("the of and") == [] and len(licenses.rules()) > 200
 
 
+def wrapped(pattern, pick):
+    """A text that the pattern matches, with every run of white space broken over two lines; of alternatives it takes the one numbered pick."""
+    import re._parser as parser
+
+    def some(parsed):
+        out = ""
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                kind, value = str(arg[0][0]), arg[0][1]
+                out += chr(value) if kind == "LITERAL" else {"CATEGORY_SPACE": " \n ", "CATEGORY_DIGIT": "2", "CATEGORY_WORD": "x"}[str(value)]
+            elif op == "BRANCH":
+                out += some(arg[1][pick % len(arg[1])])
+            elif op == "SUBPATTERN":
+                out += some(arg[3])
+            elif op == "MAX_REPEAT":
+                out += some(arg[2]) * arg[0]
+            else:
+                assert op == "AT"
+        return out
+
+    return some(parser.parse(pattern))
+
+
+def test_no_gate_hides_a_wrapped_match():
+    for r in licenses.rules():
+        for pick in range(3):
+            text = wrapped(r.pattern.pattern, pick)
+            match = r.pattern.search(text)
+            assert match, (r, text)
+            assert any(g in text.encode() for g in licenses.GATES), (r.label, text)
+            assert any(s <= match.start() and match.end() <= e for _, s, e, _ in licenses.scan(text)), (r.label, text)
+
+
+def test_license_phrases_broken_at_a_line_end(spark):
+    texts = ["GNU Lesser General\nPublic License", "All\nrights  reserved", "This program is free\n   software; you can redistribute it", "Creative  Commons\nZero"]
+    out = licenses.licenses(h.documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.labels for r in out] == ["lgpl", "proprietary", "gpl", "cc0"] and all(r.score > 0 for r in out)
+
+
 def test_ids_are_those_of_the_library():
     import sentencepiece
 
