@@ -5,19 +5,21 @@ weights are raked to the three marginals in turn until they fit, which gives
 each cell a target share of the tokens; documents are then sampled with the
 probability min(1, scale * target share / present share), where the scale makes
 the expected tokens of the sample equal to the budget. Everything is DataFrame
-expressions; the number of cells is bounded by the categories of the targets
-(sources beyond MAX_SOURCES are pooled), so the raking is one expression on one
-row of cells, and the cells are broadcast to the documents.
+expressions. Every source has cells and a target of its own, however many there
+are: a source is one row with the tokens of its languages and topics, whose factor
+follows from those of the languages and topics; so a sweep is one sum over the
+sources, and the driver only holds a factor for each language and topic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .storage import table, written
 
-#: Sources with a cell of their own, by tokens; the others are pooled as OTHER.
+#: Sources with a cell of their own in the SQL, which agrees with the code up to so many.
 MAX_SOURCES = 200
+#: Languages without a target of their own.
 OTHER = "(other)"
 #: Passes over the three marginals.
 SWEEPS = 25
@@ -49,13 +51,6 @@ def _uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def _rake(dim: str) -> str:
-    """One raking step of acc, an array of cells, to the marginal of dim: target by category over present sum by category."""
-    return (f"transform(array(map_from_arrays(map_keys(target_{dim}), transform(map_keys(target_{dim}), k -> target_{dim}[k] / "
-            f"aggregate(filter(acc, c -> c.{dim} = k), 0D, (a, c) -> a + c.w)))), "
-            f"f -> transform(acc, c -> named_struct('s', c.s, 'l', c.l, 't', c.t, 'n', c.n, 'w', c.w * f[c.{dim}])))[0]")
-
-
 def labelled(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return documents.select(
@@ -63,32 +58,54 @@ def labelled(documents: DataFrame) -> DataFrame:
         topic(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
 
 
+def _pooled(lang: Column) -> Column:
+    return F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit(OTHER))
+
+
+def _rake(sums: list[float], f: list[float], kinds: list[str], targets: dict[str, float]) -> list[float]:
+    """The factors f raked to the targets of kinds: the sums hold each cell's weight for factors of 1, kinds its category."""
+    present = {k: sum(n * x for n, x, kind in zip(sums, f, kinds) if kind == k) for k in targets}
+    return [x * targets[k] / present[k] if k in targets else x for x, k in zip(f, kinds)]
+
+
 def cell_rates(docs: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
-    """(s, l, t, probability) of each cell with tokens: pooled source, pooled language, topic. Bounded by the targets' categories."""
-    raw, _ = written(docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n")).where("n > 0"), "mix-cells")
-    own = raw.groupBy("source").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "source").limit(MAX_SOURCES).select(F.col("source").alias("s"))
-    lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit(OTHER))
-    cells = raw.join(F.broadcast(own), raw.source == own.s, "left").groupBy(F.coalesce("s", F.lit(OTHER)).alias("s"), lang.alias("l"), F.col("topic").alias("t")).agg(F.sum("n").cast("double").alias("n"))
-
-    def shares(by: str, weight: Column) -> DataFrame:
-        w = cells.groupBy(by).agg(F.sum("n").alias("n")).select(by, weight.alias("v"))
-        total = Window.partitionBy()
-        return w.select(by, (F.col("v") / F.sum("v").over(total)).alias("v")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "v")))).alias(f"target_{by}"))
-
-    fixed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.col("l")), F.lit(OTHER_SHARE))
-    targets = shares("s", F.pow("n", F.lit(SOURCE_POWER))).crossJoin(shares("l", fixed)).crossJoin(shares("t", F.pow("n", F.lit(TOPIC_POWER))))  # one row each
-    row = cells.agg(F.sort_array(F.collect_list(F.struct("s", "l", "t", "n", F.col("n").alias("w")))).alias("cells")).crossJoin(targets)
-    step = f"(acc, i) -> CASE i % 3 WHEN 0 THEN {_rake('s')} WHEN 1 THEN {_rake('l')} ELSE {_rake('t')} END"
-    raked = row.select(F.expr(f"inline(aggregate(sequence(0, {3 * sweeps - 1}), cells, {step}))"))
-    ratio = raked.select("s", "l", "t", "n", (F.col("w") / F.col("n")).alias("r"))
-    # the scale: with the k cells of the highest ratios at probability 1, the others share what is left of the budget
-    order = Window.partitionBy().orderBy(F.desc("r"), "s", "l", "t")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    scaled = ratio.withColumn("scale", (F.lit(budget) * F.sum("n").over(Window.partitionBy()) - F.coalesce(F.sum("n").over(upto), F.lit(0.0))) / F.sum(F.col("n") * F.col("r")).over(rest))
-    fits = F.min(F.when(F.col("scale") * F.col("r") <= 1, F.struct(F.col("k"), F.col("scale")))).over(Window.partitionBy())
-    done = scaled.withColumn("k", F.row_number().over(order)).withColumn("scale", fits.getField("scale"))
-    return done.select("s", "l", "t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("scale") * F.col("r"), F.lit(1.0)))).alias("probability"))
+    """(s, l, t, probability) of each cell with tokens: source, pooled language, topic."""
+    pairs = [(x, y) for x in (*LANGUAGES, OTHER) for y in (*(name for name, _ in TOPICS), DEFAULT_TOPIC)]
+    langs, topics = map(list, zip(*pairs))
+    held = [F.coalesce(F.sum(F.when((_pooled(F.col("lang")) == x) & (F.col("topic") == y), F.col("n_tokens"))), F.lit(0)).cast("double") for x, y in pairs]
+    own = docs.where("n_tokens > 0").groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").cast("double").alias("m"), F.array(*held).alias("ns"))
+    sources, _ = written(own, "mix-sources")
+    ns, target = [F.col("ns")[k] for k in range(len(pairs))], F.pow("m", F.lit(SOURCE_POWER))
+    first = sources.agg(F.sum(target), *[F.sum(n) for n in ns]).first()
+    whole, n = first[0] or 1.0, [x or 0.0 for x in first[1:]]
+
+    def shares(kinds: list[str], weight) -> dict[str, float]:
+        total = {k: sum(x for x, kind in zip(n, kinds) if kind == k) for k in kinds}
+        v = {k: weight(k, x) for k, x in total.items() if x}
+        return {k: x / sum(v.values()) for k, x in v.items()}
+
+    by_lang = shares(langs, lambda k, x: LANGUAGES.get(k, OTHER_SHARE))
+    by_topic = shares(topics, lambda k, x: x**TOPIC_POWER)
+    f, factor = [1.0] * len(pairs), F.lit(1.0)
+    for _ in range(sweeps if any(n) else 0):
+        factor = target / whole / sum((x * F.lit(y) for x, y in zip(ns[1:], f[1:])), ns[0] * F.lit(f[0]))
+        sums = list(sources.agg(*[F.sum(x * factor) for x in ns]).first())
+        f = _rake(sums, f, langs, by_lang)
+        f = _rake(sums, f, topics, by_topic)
+    names = F.array(*[F.struct(F.lit(x).alias("l"), F.lit(y).alias("t"), F.lit(v).alias("f")) for (x, y), v in zip(pairs, f)])
+    cell = F.explode(F.arrays_zip(names.alias("c"), F.col("ns").alias("n")))
+    ratio, _ = written(sources.select("s", factor.alias("a"), cell.alias("x")).select("s", "x.c.l", "x.c.t", "x.n", (F.col("a") * F.col("x.c.f")).alias("r")).where("n > 0"), "mix-ratios")
+    # the scale: cells whose probability would pass 1 are taken whole, the others share what is left of the budget, until no further cell passes 1
+    scale, whole_cells = 0.0, -1
+    while True:
+        over = F.col("r") * F.lit(scale) > 1
+        full, rest, count = ratio.agg(F.sum(F.when(over, F.col("n")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("n") * F.col("r"))), F.count_if(over)).first()
+        if not rest:
+            return ratio.select("s", "l", "t", F.lit(1.0).alias("probability"))
+        if count == whole_cells:
+            break
+        scale, whole_cells = (budget * sum(n) - full) / rest, count
+    return ratio.select("s", "l", "t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(scale) * F.col("r"))).alias("probability"))
 
 
 def mixed(documents: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
@@ -101,9 +118,7 @@ def mixed(documents: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET) ->
     """
     docs = labelled(documents)
     rates, _ = written(cell_rates(docs, sweeps, budget), "mix-rates")
-    own = rates.select(F.col("s").alias("own")).distinct()
-    out = docs.join(F.broadcast(own), docs.source == own.own, "left").withColumn("s", F.coalesce("own", F.lit(OTHER))).withColumn("l", F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit(OTHER)))
-    out = out.join(F.broadcast(rates.withColumnRenamed("t", "topic")), ["s", "l", "topic"], "left")
+    out = docs.withColumn("s", F.col("source")).withColumn("l", _pooled(F.col("lang"))).join(rates.withColumnRenamed("t", "topic"), ["s", "l", "topic"], "left")
     p = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(p, 9).alias("probability"), (_uniform(F.col("doc_id")) < p).alias("selected"))
 
@@ -113,15 +128,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the sampled documents. The cells' rates are bounded and broadcast, so documents are not joined with themselves."""
+    """Pipeline: the sampled documents. The documents meet their cells' rates in one join."""
     plain = labelled(docs)
     rates, _ = written(cell_rates(plain), "mix-rates")
-    own = rates.select(F.col("s").alias("__mix_own")).distinct()
     text = F.coalesce("text", F.lit(""))
     lang = F.coalesce("lang", F.lit("(none)"))
-    keyed = docs.withColumns({"__mix_src": F.coalesce("source", F.lit("(none)")), "__mix_l": F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit(OTHER)), "__mix_t": topic(text), "__mix_words": text.rlike(WORD)})
-    keyed = keyed.join(F.broadcast(own), keyed["__mix_src"] == own["__mix_own"], "left").withColumn("__mix_s", F.coalesce("__mix_own", F.lit(OTHER)))
-    keyed = keyed.join(F.broadcast(rates.select(F.col("s").alias("__mix_s"), F.col("l").alias("__mix_l"), F.col("t").alias("__mix_t"), F.col("probability").alias("__mix_p"))), ["__mix_s", "__mix_l", "__mix_t"], "left")
+    keyed = docs.withColumns({"__mix_s": F.coalesce("source", F.lit("(none)")), "__mix_l": _pooled(lang), "__mix_t": topic(text), "__mix_words": text.rlike(WORD)})
+    keyed = keyed.join(rates.select(F.col("s").alias("__mix_s"), F.col("l").alias("__mix_l"), F.col("t").alias("__mix_t"), F.col("probability").alias("__mix_p")), ["__mix_s", "__mix_l", "__mix_t"], "left")
     return keyed.where(F.col("__mix_words") & (_uniform(F.col("doc_id").cast("long")) < F.coalesce("__mix_p", F.lit(0.0)))).select(*docs.columns)
 
 

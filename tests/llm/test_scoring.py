@@ -180,6 +180,12 @@ def test_mixing_meets_the_targets(spark):
         assert share("lang", k) == pytest.approx(v / sum(weights.values()), abs=0.01)  # one token of other languages can't hold their share
 
 
+def test_mixing_gives_every_source_its_target(spark):
+    rows = [(i, "one two three four", "en", f"s{i}", 0) for i in range(300)]
+    out = mixing.mixed(spark.createDataFrame(rows, h.DOCS)).collect()
+    assert len(out) == 300 and all(r.probability == pytest.approx(0.8) for r in out)
+
+
 CHAT = [
     (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "On Monday you wrote:\n> how ARE you\nFine."), (1, 2, "user", "> > Hello, there\n> Fine.\nGood"), (1, 3, "user", "> unknown line\n> Good"),
     (1, 1500, "user", ">Good\nlate"), (2, 0, "user", None), (2, 0, "user", "Good"), (None, 1, "user", "> x"),
