@@ -2,51 +2,118 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.signatures import changed_ratio, colour_similarity, correlation, mean_difference
+from ..functions.signatures import BINS, BIN_WIDTH, CHANGED
 
 # Fixed values.
 KEEP_CORRELATION, KEEP_DIFFERENCE, KEEP_GAP = 0.85, 0.05, 5.0
 SKIP_SIMILARITY, SKIP_CHANGE = 0.88, 0.003
+SKIPPED = "skipped_similar_frame (sim=%.3f, change=%.4f)"
 
+#: What keep() compares: the columns of `state` of one row, lists as arrays, nulls as None.
+Row = dict
 
-def keep_fold(rows: DataFrame, order: list[str], state: list[str], keep: Callable[[Column, Column], Column], by: str = "run_id") -> DataFrame:
+
+def keep_fold(rows: DataFrame, order: list[str], state: list[str], keep: Callable[[Row, Row], bool | tuple], by: str = "run_id", more: str = "") -> DataFrame:
     """rows with a column `kept`: the first row of a run is kept, then each one for which keep(last kept row, row) holds.
 
-    The rows of a run lie in one array, ordered by `order`; a run is one
-    recording, some thousand frames, and many are folded side by side. `state`
-    names what keep() compares; other columns go along in the rows.
+    The rows of a run pass once, in the order of `order`, and the fold holds
+    the last kept row alone; a run of any length takes the same memory.
+    keep() gives a flag, or a tuple of the flag and values for the columns that
+    `more` (as DDL) names; for first rows these are null.
     """
-    others = [c for c in rows.columns if c not in (by, *order, *state)]
-    fields = [*order, *[c for c in state if c not in order]]
-    runs = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*fields, F.struct(*others).alias("_rest") if others else F.lit(0).alias("_rest")))).alias("_rows"))
-    # the state is the last kept row's place and the flags so far, so the fold carries no copies of the rows
-    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<boolean>").alias("flags"))
+    names = [f.split()[0] for f in more.split(",")] if more else []
+    fields = [c for c in dict.fromkeys([*order, *state])]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            columns = {c: _values(batch.column(c)) for c in fields}
+            out = [[] for _ in range(len(names) + 1)]
+            for i in range(batch.num_rows):
+                row = {c: v[i] for c, v in columns.items()}
+                got = (True,) + (None,) * len(names) if last is None else keep(last, row)
+                got = got if isinstance(got, tuple) else (got,)
+                if got[0]:
+                    last = row
+                for values, x in zip(out, got):
+                    values.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(out, kinds))], [*batch.schema.names, "kept", *names])
+
+    extra = T._parse_datatype_string("kept boolean" + (f", {more}" if more else ""))
+    kinds = [to_arrow_type(f.dataType) for f in extra.fields]
+    return rows.repartition(by).sortWithinPartitions(by, *order).groupBy(by).applyInArrow(fold, T.StructType([*rows.schema.fields, *extra.fields]))
+
+
+def _values(column: pa.Array) -> list:
+    """The values of a column; lists of numbers as NumPy arrays without a copy."""
+    if pa.types.is_list(column.type) and not pa.types.is_nested(column.type.value_type):
+        flat, at, valid = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid()
+        return [flat[a:b] if ok.as_py() else None for a, b, ok in zip(at[:-1], at[1:], valid)]
+    return column.to_pylist()
+
+
+# the same measures as in functions.signatures, for one pair of rows
+
+def _correlation(a, b) -> float:
+    if a is None or b is None or not len(a) or len(a) != len(b):
+        return 0.0
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    n = len(a)
+    va, vb = (a @ a) / n - a.mean() ** 2, (b @ b) / n - b.mean() ** 2
+    if va <= 1e-12 or vb <= 1e-12:
+        return 1.0 if va <= 1e-12 and vb <= 1e-12 else 0.0
+    return float(((a @ b) / n - a.mean() * b.mean()) / np.sqrt(va * vb))
 
-    def step(s: Column, i: Column) -> Column:
-        k = (i == 0) | F.coalesce(keep(F.get(F.col("_rows"), s["last"]), F.get(F.col("_rows"), i)), F.lit(False))
-        return F.transform(F.array(k), lambda x: F.struct(F.when(x, i).otherwise(s["last"]).alias("last"), F.concat(s["flags"], F.array(x)).alias("flags")))[0]
 
-    runs = runs.withColumn("_flags", F.aggregate(F.sequence(F.lit(0), F.size("_rows") - 1), start, step)["flags"])
-    flat = runs.select(by, F.explode(F.arrays_zip("_rows", "_flags")).alias("_z")).select(by, "_z._rows.*", F.col("_z._flags").alias("kept"))
-    return flat.select(by, *fields, *[F.col(f"_rest.{c}").alias(c) for c in others], "kept") if others else flat.drop("_rest")
+def _difference(a, b) -> float:
+    if a is None or b is None or not len(a) or len(a) != len(b):
+        return 1.0
+    return float(np.abs(np.asarray(a, float) - b).mean() / 255)
+
+
+def _similarity(a, b) -> float:
+    if not a or not b or len(a) != len(b):
+        return 0.0
+    return min(1.0, max(0.0, (float(np.mean([_correlation(x, y) for x, y in zip(a, b)])) + 1) / 2))
+
+
+def _changed(a, b) -> float:
+    if a is None or b is None or not len(a) or len(a) != len(b):
+        return 1.0
+    return float((np.abs(np.asarray(a, np.int64) - b) > CHANGED).mean())
 
 
 def keep_frames(frames: DataFrame) -> DataFrame:
     """frames (run_id, timestamp, hist, thumb, ...): kept if both measures changed since the last kept frame, or after a gap."""
-    def keep(last: Column, row: Column) -> Column:
-        changed = (correlation(last["hist"], row["hist"]) < KEEP_CORRELATION) & (mean_difference(last["thumb"], row["thumb"]) > KEEP_DIFFERENCE)
-        return changed | (row["timestamp"] - last["timestamp"] >= KEEP_GAP)
+    def keep(last: Row, row: Row) -> bool:
+        changed = _correlation(last["hist"], row["hist"]) < KEEP_CORRELATION and _difference(last["thumb"], row["thumb"]) > KEEP_DIFFERENCE
+        return changed or row["timestamp"] - last["timestamp"] >= KEEP_GAP
 
     return keep_fold(frames, ["timestamp"], ["hist", "thumb"], keep)
 
 
 def skip_frames(frames: DataFrame, similar: float = SKIP_SIMILARITY, change: float = SKIP_CHANGE) -> DataFrame:
-    """frames (run_id, timestamp, hist_rgb, thumb, ...) with `kept`: false where recognition can be skipped, since the last recognised frame looks the same."""
-    def keep(last: Column, row: Column) -> Column:
-        return ~((colour_similarity(last["hist_rgb"], row["hist_rgb"]) >= similar) & (changed_ratio(last["thumb"], row["thumb"]) < change))
+    """frames (run_id, timestamp, hist_rgb, thumb, ...) with `kept`, `similarity` and `change_ratio`.
+
+    `kept` is false where recognition can be skipped, since the last recognised
+    frame looks the same; skipped frames stay in the result. The two measures
+    are null for the first frame of a run.
+    """
+    def keep(last: Row, row: Row) -> tuple:
+        s, c = _similarity(last["hist_rgb"], row["hist_rgb"]), _changed(last["thumb"], row["thumb"])
+        return not (s >= similar and c < change), s, c
+
+    return keep_fold(frames, ["timestamp"], ["hist_rgb", "thumb"], keep, more="similarity double, change_ratio double")
+
 
-    return keep_fold(frames, ["timestamp"], ["hist_rgb", "thumb"], keep)
+def skip_method(kept: Column, similarity: Column, change: Column, model: str = "vision") -> Column:
+    """How a frame's text came about: the model's name, or that it was skipped and why, with both measures."""
+    why = F.format_string(SKIPPED, similarity, change)
+    return F.when(kept, F.lit(model)).otherwise(why)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..catalog import query
 from ..functions import text as t
 from ..operators import align, dedup, runs, sentences
-from ..sources.relations import FRAMES_SQL, OCR_SQL, SEGMENTS_SQL, WORDS_SQL, boards, frames, segments, table, words
+from ..sources.relations import FRAMES_SQL, OCR_SQL, SEGMENTS_SQL, WORDS_SQL, board_keys, boards, frames, segments, table, with_boards, words
 
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
 _NORM = r"trim(regexp_replace(lower(replace({0}, '`', '')), '\s+', ' ', 'g'))"
@@ -32,8 +32,8 @@ def _middle(df: DataFrame) -> DataFrame:
 
 
 def _first_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = align.nearest(_middle(segments(spark, sf_dir)), boards(spark, sf_dir).withColumnRenamed("text", "board"), "mid_s", ["board"])
-    return dedup.first_boards(near)
+    near = align.nearest(_middle(segments(spark, sf_dir)), board_keys(spark, sf_dir), "mid_s", ["doc_id"])  # texts join when each segment has its frame
+    return dedup.first_boards(with_boards(near, spark, sf_dir, "board"))
 
 
 _FIRST_BOARD = f"""boarded AS (
@@ -47,8 +47,8 @@ FROM segments s LEFT JOIN near ON near.run_id = s.run_id AND near.seg_idx = s.se
 WHERE {_WORDS.replace('text', 's.text')} >= 4""")
 def aligned_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with their nearest frame, the boards that appear for the first time, and repeated clauses dropped."""
-    near = align.nearest(_middle(segments(spark, sf_dir)), frames(spark, sf_dir), "mid_s", ["frame_idx", "time_s"])
-    both = near.where(t.long_enough(F.col("text"))).join(_first_boards(spark, sf_dir).select("run_id", "seg_idx", "board"), ["run_id", "seg_idx"])
+    near = align.nearest(_middle(segments(spark, sf_dir)), board_keys(spark, sf_dir), "mid_s", ["frame_idx", "time_s", "doc_id"])
+    both = dedup.first_boards(with_boards(near, spark, sf_dir, "board")).where(t.long_enough(F.col("text")))
     return both.select("run_id", "seg_idx", "start_s", "end_s", t.dedup_clauses(F.col("text")).alias("text"), F.coalesce("frame_idx", F.lit(-1)).alias("frame_idx"), F.coalesce("time_s", F.lit(-1.0)).alias("frame_time"), F.coalesce("board", F.lit("")).alias("board"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import Window, functions as F
 
 from ..catalog import query
 from ..functions import signatures as sig, text as t
@@ -36,13 +37,15 @@ _COS = "(list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(l
   FROM (SELECT f.run_id AS rid, f.n AS fn, f.last, f.last_n, v.n AS vn, {_COS.format('f.last', 'v.e')} < 0.0 OR 3.0 * (v.n - f.last_n) >= 9.0 AS k FROM f JOIN v ON v.run_id = f.run_id AND v.n = f.n + 1) f
   JOIN v ON v.run_id = f.rid AND v.n = f.vn)
 SELECT run_id, vec_id, kept FROM f""")
-def frame_keep_fold(spark, sf_dir):
+def vector_keep_fold(spark, sf_dir):
     """Vectors as signatures: kept if unlike the last kept one, or nine seconds after it."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("run_id"), "vec_id", F.col("embedding").cast("array<double>").alias("e"))
     e = e.withColumn("time", F.row_number().over(Window.partitionBy("run_id").orderBy("vec_id")) * 3.0)
-    out = folds.keep_fold(e, ["time", "vec_id"], ["e"], lambda last, row: (sig.cosine(last["e"], row["e"]) < 0.0) | (row["time"] - last["time"] >= 9.0))
+    def keep(last, row):
+        a, b = last["e"], row["e"]
+        return a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b) + 1e-10) < 0.0 or row["time"] - last["time"] >= 9.0
+
+    out = folds.keep_fold(e, ["time", "vec_id"], ["e"], keep)
     return out.select("run_id", "vec_id", "kept")
 
 
@@ -53,14 +56,62 @@ def frame_keep_fold(spark, sf_dir):
          CASE WHEN abs(v.value - f.last) > 25 OR v.s - f.last_s >= 21600 THEN v.s ELSE f.last_s END, abs(v.value - f.last) > 25 OR v.s - f.last_s >= 21600
   FROM f JOIN v ON v.run_id = f.run_id AND v.n = f.n + 1)
 SELECT run_id, event_id, kept FROM f""")
-def ocr_skip_fold(spark, sf_dir):
+def value_keep_fold(spark, sf_dir):
     """Events: recognised if the value moved by more than 25 since the last recognised one, or six hours passed; others are skipped but stay in the result."""
     s = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     e = frames(spark, sf_dir).select("run_id", "event_id", "value", s.alias("s"))
-    out = folds.keep_fold(e, ["s", "event_id"], ["value"], lambda last, row: (F.abs(row["value"] - last["value"]) > 25) | (row["s"] - last["s"] >= 21600))
+    out = folds.keep_fold(e, ["s", "event_id"], ["value"], lambda last, row: abs(row["value"] - last["value"]) > 25 or row["s"] - last["s"] >= 21600)
     return out.select("run_id", "event_id", "kept")
 
 
+_THUMBS = """g AS (SELECT label AS run_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n,
+       list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) * {scale} + 1) * 127.5) AS BIGINT)) AS p FROM embeddings)"""
+_BINS = "list_transform(range(0, 32), lambda b: CAST(len(list_filter({0}, lambda v: v // 8 = b)) AS DOUBLE))"
+_CORR = """(CASE WHEN len({a}) * list_dot_product({a}, {a}) - list_sum({a}) * list_sum({a}) <= 0 OR len({b}) * list_dot_product({b}, {b}) - list_sum({b}) * list_sum({b}) <= 0
+  THEN (CASE WHEN len({a}) * list_dot_product({a}, {a}) - list_sum({a}) * list_sum({a}) <= 0 AND len({b}) * list_dot_product({b}, {b}) - list_sum({b}) * list_sum({b}) <= 0 THEN 1.0 ELSE 0.0 END)
+  ELSE (len({a}) * list_dot_product({a}, {b}) - list_sum({a}) * list_sum({b}))
+    / sqrt((len({a}) * list_dot_product({a}, {a}) - list_sum({a}) * list_sum({a})) * (len({b}) * list_dot_product({b}, {b}) - list_sum({b}) * list_sum({b}))) END)"""
+_APART = "list_transform(list_zip({0}, {1}), lambda z: abs(z[1] - z[2]))"
+
+
+def _thumbs(spark, sf_dir, scale):
+    """Vectors of a label as the frames of a recording, three seconds apart, with a thumbnail of 64 values."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("run_id"), "vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") * scale + 1) * 127.5).cast("int")).alias("thumb"))
+    return e.withColumn("timestamp", F.row_number().over(Window.partitionBy("run_id").orderBy("vec_id")) * F.lit(1.5))
+
+
+@query(f"""WITH RECURSIVE {_THUMBS.format(scale=1.0)}, v AS (SELECT *, 1.5 * n AS t, {_BINS.format('p')} AS h FROM g), f AS (
+  SELECT run_id, n, vec_id, h AS lh, p AS lp, t AS lt, true AS kept FROM v WHERE n = 1
+  UNION ALL
+  SELECT run_id, n, vec_id, CASE WHEN k THEN h ELSE lh END, CASE WHEN k THEN p ELSE lp END, CASE WHEN k THEN t ELSE lt END, k
+  FROM (SELECT v.*, f.lh, f.lp, f.lt, ({_CORR.format(a='f.lh', b='v.h')} < 0.85 AND list_sum({_APART.format('f.lp', 'v.p')}) / 64.0 / 255.0 > 0.05) OR v.t - f.lt >= 5.0 AS k
+        FROM f JOIN v ON v.run_id = f.run_id AND v.n = f.n + 1))
+SELECT run_id, vec_id, kept FROM f""")
+def frame_keep_fold(spark, sf_dir):
+    """Frames kept by histogram correlation and mean difference to the last kept one, or after a gap."""
+    frames_ = _thumbs(spark, sf_dir, 1.0).withColumn("hist", sig.histogram(F.col("thumb")))
+    return folds.keep_frames(frames_).select("run_id", "vec_id", "kept")
+
+
+_CHANNELS = ", ".join(_BINS.format(f"p[{lo}:{hi}]") for lo, hi in ((1, 21), (22, 42), (43, 64)))
+
+
+@query(f"""WITH RECURSIVE {_THUMBS.format(scale=0.22)}, v AS (SELECT *, [{_CHANNELS}] AS h FROM g), f AS (
+  SELECT run_id, n, vec_id, h AS lh, p AS lp, true AS kept, 0.0::DOUBLE AS s, 1.0::DOUBLE AS c FROM v WHERE n = 1
+  UNION ALL
+  SELECT run_id, n, vec_id, CASE WHEN NOT (s >= 0.88 AND c < 0.003) THEN h ELSE lh END, CASE WHEN NOT (s >= 0.88 AND c < 0.003) THEN p ELSE lp END, NOT (s >= 0.88 AND c < 0.003), s, c
+  FROM (SELECT v.*, f.lh, f.lp, least(1.0, greatest(0.0, (({' + '.join(_CORR.format(a=f'f.lh[{i}]', b=f'v.h[{i}]') for i in (1, 2, 3))}) / 3 + 1) / 2)) AS s,
+               len(list_filter({_APART.format('f.lp', 'v.p')}, lambda d: d > 15)) / 64.0::DOUBLE AS c
+        FROM f JOIN v ON v.run_id = f.run_id AND v.n = f.n + 1))
+SELECT run_id, vec_id, kept, CASE WHEN kept THEN 'vision' ELSE printf('skipped_similar_frame (sim=%.3f, change=%.4f)', s, c) END AS method FROM f""")
+def ocr_skip_fold(spark, sf_dir):
+    """Frames that recognition may skip, since the last recognised one looks the same, with the reason."""
+    t = F.col("thumb")
+    rgb = F.array(*[sig.histogram(F.slice(t, lo, n)) for lo, n in ((1, 21), (22, 21), (43, 22))])
+    out = folds.skip_frames(_thumbs(spark, sf_dir, 0.22).withColumn("hist_rgb", rgb))
+    return out.select("run_id", "vec_id", "kept", folds.skip_method(F.col("kept"), F.col("similarity"), F.col("change_ratio")).alias("method"))
+
+
 _PIXELS = "list_transform(embedding, lambda x: CAST(floor((x + 1) * 127.5) AS INTEGER))"
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import VIDEO_SUFFIXES, suffix
+from ..functions.text import VIDEO_SUFFIXES, seconds, suffix
+from ..operators.sentences import words_to_sentences
 
 SEGMENT = "struct<start:double,end:double,text:string>"
 FRAME = "struct<timestamp:double,time:double,path:string>"
@@ -14,15 +15,24 @@ def is_video(path: Column) -> Column:
     return suffix(path).isin(VIDEO_SUFFIXES)
 
 
-def find_videos(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of the video files right in the folder, by path. Contents aren't read. A missing folder has none."""
+def find_files(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
+    """(path, length) of the files right in the folder with one of the suffixes, by path. Contents aren't read. A missing folder has none."""
     try:
         files = spark.read.format("binaryFile").load(folder)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "path string, length long")
-    return files.where(is_video(F.col("path"))).select("path", "length").orderBy("path")
+    return files.where(suffix(F.col("path")).isin(suffixes)).select("path", "length").orderBy("path")
+
+
+def find_videos(spark: SparkSession, folder: str) -> DataFrame:
+    return find_files(spark, folder, VIDEO_SUFFIXES)
+
+
+def uploaded(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of an uploaded file, or of all files of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +45,11 @@ def section(start: Column, end: Column) -> Column:
     return F.concat(F.lit("*"), start.cast("string"), F.lit("-"), F.coalesce(end.cast("string"), F.lit("")))
 
 
+def option_error(exists: Column, quality: Column, interval: Column) -> Column:
+    """What is wrong with the options of an extraction; null if nothing is."""
+    return F.when(~exists, "no such video").when(~quality.between(1, 100), "quality must be from 1 to 100").when(~(interval > 0), "interval must be positive")
+
+
 def duration(fps: Column, frames: Column) -> Column:
     return F.when(fps > 0, frames / fps).otherwise(F.lit(0.0))
 
@@ -75,6 +90,12 @@ def frames_of(documents: DataFrame, content: str = "content") -> DataFrame:
     return s.select("run_id", "frame_idx", F.coalesce("f.timestamp", "f.time", F.lit(0.0)).alias("time"), "f.path")
 
 
+def boards_of(documents: DataFrame, content: str = "content") -> DataFrame:
+    """(run_id, seg_idx, board) of JSON texts, bare or wrapped: a list parallel to the segments, of lists that are empty or hold one text."""
+    s = documents.select("run_id", F.posexplode(_either(F.col(content), "array<string>", "board_elements")).alias("seg_idx", "b"))
+    return s.select("run_id", "seg_idx", F.coalesce(F.get("b", 0), F.lit("")).alias("board"))
+
+
 def spoken(replies: DataFrame) -> DataFrame:
     """Segments of replies (run_id, text, audio_duration, sentences, utterances): sentences, or else utterances, or else one segment of the whole text.
 
@@ -97,6 +118,19 @@ def spoken_by_words(replies: DataFrame) -> DataFrame:
     return w.select("run_id", F.col("word_idx").cast("long").alias("word_idx"), "w.text", F.col("w.start").alias("start_ms"), F.col("w.end").alias("end_ms"))
 
 
+def spoken_rest(replies: DataFrame) -> DataFrame:
+    """(run_id, seg_idx, start, end, text) of replies (run_id, text, utterances, words) of the plain service.
+
+    A reply with a text gives its words as sentences, none if it has no words;
+    one without a text its utterances, or else a segment for each word.
+    """
+    has_text = F.coalesce("text", F.lit("")) != ""
+    grouped = words_to_sentences(spoken_by_words(replies.where(has_text))).select("run_id", F.col("sent_idx").alias("seg_idx"), "start", "end", "text")
+    best = F.when(F.size("utterances") > 0, F.col("utterances")).when(F.size("words") > 0, F.col("words"))
+    s = replies.where(~has_text).select("run_id", F.posexplode(best).alias("seg_idx", "s"))
+    return grouped.unionByName(s.select("run_id", F.col("seg_idx").cast("long").alias("seg_idx"), seconds(F.col("s.start")).alias("start"), seconds(F.col("s.end")).alias("end"), "s.text"))
+
+
 def polled(ask, waits: list[float], sleep) -> dict:
     """The first answer of ask() whose status is final; sleeps between asking, and gives up when the waits are used up."""
     for wait in [*waits, None]:

@@ -13,8 +13,8 @@ FRAMES_SQL = """frames AS (
   SELECT user_id AS run_id, CAST(row_number() OVER w AS BIGINT) - 1 AS frame_idx, 2.0::DOUBLE * (row_number() OVER w - 1) AS time_s, event_id, event_type, value, ts
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 OCR_SQL = """ocr AS (
-  SELECT f.run_id, f.frame_idx, f.time_s, CASE WHEN f.event_type = 'error' THEN '' ELSE split_part(d.text, chr(10), 1) END AS text
-  FROM frames f JOIN documents d ON d.doc_id = f.event_id % 5)"""
+  SELECT f.run_id, f.frame_idx, f.time_s, CASE WHEN f.event_type = 'error' THEN '' ELSE coalesce(d.text, '') END AS text
+  FROM frames f LEFT JOIN documents d ON d.doc_id = (f.run_id * 5 + f.event_id % 5) % (SELECT max(doc_id) + 1 FROM documents))"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,22 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("user_id").alias("run_id"), n.alias("frame_idx"), (n * F.lit(2.0)).alias("time_s"), "event_id", "event_type", "value", "ts")
 
 
+def board_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with `doc_id`, the document that their board shows: five for each run, out of all documents; frames of errors show none."""
+    n = (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0) + 1
+    key = F.pmod(F.col("run_id") * 5 + F.col("event_id") % 5, F.lit(n))
+    return frames(spark, sf_dir).select("run_id", "frame_idx", "time_s", F.when(F.col("event_type") != "error", key).alias("doc_id"))
+
+
+def with_boards(rows: DataFrame, spark: SparkSession, sf_dir: str, name: str = "text") -> DataFrame:
+    """rows (doc_id, ...) with the text of their document; without one it is empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"))
+    return rows.join(d, "doc_id", "left").withColumn(name, F.coalesce("_text", F.lit(""))).drop("_text", "doc_id")
+
+
 def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised text of the frames: five boards in turn; frames of errors have none. Five documents are a fixed bound."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 5").select("doc_id", F.split("text", "\n")[0].alias("line"))
-    f = frames(spark, sf_dir)
-    return f.join(F.broadcast(d), f.event_id % 5 == d.doc_id).select("run_id", "frame_idx", "time_s", F.when(F.col("event_type") == "error", "").otherwise(F.col("line")).alias("text"))
+    """Recognised text of the frames: whole documents."""
+    return with_boards(board_keys(spark, sf_dir), spark, sf_dir)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
