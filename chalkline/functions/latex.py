@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules
 from .rules import Cases, Put, Sub, Trim
@@ -58,3 +58,8 @@ def latex_to_text(c: Column) -> Column:
 
 def latex_to_text_sql(x: str) -> str:
     return rules.sql(RULES, f"coalesce({x}, '')")
+
+
+def with_words(df: DataFrame, text: str, original: str, plain: str) -> DataFrame:
+    """df with a text as it is and as words."""
+    return df.withColumns({original: F.col(text), plain: latex_to_text(F.col(text))})

@@ -91,6 +91,12 @@ def _sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\."), _strip), lambda x: x != "")
 
 
+def tells_formula(speech: Column) -> Column:
+    """Whether a formula is told: f of x, something that equals with a digit, or a power."""
+    low = F.lower(speech)
+    return low.contains("f(x)") | low.contains("f of x") | (low.contains("equals") & speech.rlike(r"[\p{Nd}²³¹⁰⁴-⁹]")) | low.rlike("squared|cubed|power")
+
+
 def merged(df: DataFrame, speech: str, board: str, out: str) -> DataFrame:
     """df with the speech and the board text merged into one text.
 
@@ -111,7 +117,7 @@ def merged(df: DataFrame, speech: str, board: str, out: str) -> DataFrame:
     label = (F.length(b) < 20) & ~b.rlike(r"[=+\-*/^]")
     spaced, dotted = F.array_join(rest, " "), F.array_join(rest, ". ")
     labelled = F.when(first.isNull() | (b == ""), s).otherwise(F.concat(first, F.lit(". We're focusing on "), F.lower(b), F.lit("."), F.when(F.size(rest) > 0, F.concat(F.lit(" "), spaced)).otherwise("")))
-    told = low.contains("f(x)") | low.contains("f of x") | (low.contains("equals") & s.rlike(r"[\p{Nd}²³¹⁰⁴-⁹]")) | low.rlike("squared|cubed|power")
+    told = tells_formula(s)
     parts, spoken = F.split(F.lower(first), " equals "), F.split(F.lower("_spoken"), " equals ")
     replaceable = told & (F.size("_all") >= 2) & (F.size(parts) == 2) & (F.size(spoken) == 2)
     formula = F.concat(F.substring(first, F.lit(1), F.locate(" equals ", F.lower(first)) + 7), _strip(F.get(spoken, 1)))

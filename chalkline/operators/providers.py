@@ -14,7 +14,9 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from .runs import audio_path
 
 Provider = Callable[[list[str]], list[str]]
 
@@ -30,7 +32,7 @@ def preset(structure: Column) -> Column:
     return F.when(structure.isin(MATH), "math").when(structure.isin(TEXT), "text").otherwise("default")
 
 
-def retried(call: Provider, requests: list[str], attempts: int = ATTEMPTS, wait: float = FIRST_WAIT) -> tuple[list[str | None], str | None]:
+def retried(call: Provider, requests: list[str], attempts: int = ATTEMPTS, wait: float = FIRST_WAIT, sleep: Callable[[float], None] = time.sleep) -> tuple[list[str | None], str | None]:
     """The answers, or the last error; waits double from attempt to attempt."""
     error = None
     for n in range(attempts):
@@ -42,7 +44,7 @@ def retried(call: Provider, requests: list[str], attempts: int = ATTEMPTS, wait:
         except Exception as e:  # whatever a service raises is an answer's error, not the job's
             error = f"{type(e).__name__}: {e}"
             if n + 1 < attempts and wait:
-                time.sleep(wait * 2**n)
+                sleep(wait * 2**n)
     return [None] * len(requests), error
 
 
@@ -62,6 +64,74 @@ def asked(rows: DataFrame, request: str, call: Provider, size: int = 4, wait: fl
     return rows.mapInPandas(run, schema)
 
 
+def polled(ask, waits: list[float], sleep) -> dict:
+    """The first answer of ask() whose status is final; sleeps between asking, and gives up when the waits are used up."""
+    for wait in [*waits, None]:
+        got = ask()
+        if got.get("status") == "completed":
+            return got
+        if got.get("status") == "error":
+            raise RuntimeError(got.get("error") or "the service failed")
+        if wait is not None:
+            sleep(wait)
+    raise TimeoutError("no final status")
+
+
+class RuledService:
+    """A speech service without a network: a request is asked for as many times as its number modulo 5 says, and then done, or failed for the last of these."""
+
+    def upload(self, audio: str) -> str:
+        return f"memory:{audio}"
+
+    def request(self, address: str) -> str:
+        self.left = int(address.rsplit(":", 1)[1]) % 5
+        self.fails = self.left == 4
+        return address
+
+    def status(self, request: str) -> dict:
+        if self.left:
+            self.left -= 1
+            return {"status": "processing"}
+        return {"status": "error", "error": "no speech"} if self.fails else {"status": "completed", "text": request}
+
+
+def transcribed(rows: DataFrame, audio: str, service: Callable, waits: tuple[float, ...] = (0.0,) * 60) -> DataFrame:
+    """rows with `status`, `asked` (times the service was polled), `text` and `error`: each row's audio is uploaded, requested and polled."""
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("status string, asked long, text string, error string").fields])
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for a in f[audio]:
+                s, asked_ = service(), []
+                try:
+                    request = s.request(s.upload(a))
+                    got = polled(lambda: asked_.append(1) or s.status(request), list(waits), time.sleep)
+                    out.append(("completed", len(asked_), got.get("text"), None))
+                except Exception as e:  # a failed request is a row's error, not the job's
+                    out.append(("error", len(asked_), None, f"{type(e).__name__}: {e}"))
+            yield f.assign(**{c: pd.Series([x[i] for x in out], index=f.index, dtype=object if i != 1 else "int64") for i, c in enumerate(("status", "asked", "text", "error"))})
+
+    return rows.mapInPandas(run, schema)
+
+
+def probed(videos: DataFrame) -> DataFrame:
+    """videos (fps, total_frames, ...) with `duration` in seconds; 0 without a frame rate."""
+    return videos.withColumn("duration", F.when(F.col("fps") > 0, F.col("total_frames") / F.col("fps")).otherwise(F.lit(0.0)))
+
+
+def extracted(videos: DataFrame, path: str, extract: Provider) -> DataFrame:
+    """videos with `audio`, the path of the sound that extract() made of each, empty where it failed, and `error`."""
+    got = asked(videos, path, extract, 1, wait=0)
+    return got.withColumn("audio", F.coalesce("answer", F.lit(""))).drop("answer")
+
+
+def spoken_files(rows: DataFrame, text: str, speak: Provider) -> DataFrame:
+    """rows (seg_idx, ...) with `audio_path`: the numbered file that speak() made, empty where it failed or there is nothing to say."""
+    got = asked(rows, text, speak, 1, wait=0)
+    return got.withColumn("audio_path", audio_path(F.col("seg_idx").cast("int"), F.col("error").isNull() & (F.coalesce(F.col(text), F.lit("")) != ""))).drop("answer", "error")
+
+
 def remembered(spark: SparkSession, rows: DataFrame, request: str, name: str, call: Provider, memory: str, **parameters) -> DataFrame:
     """rows with `answer` and `error`, from the memory table at path `memory`; only requests it lacks are sent, each once."""
     key = F.sha2(F.concat_ws("\x1f", F.lit(name), F.lit(repr(sorted(parameters.items()))), F.coalesce(F.col(request), F.lit(""))), 256)
@@ -93,9 +163,9 @@ def silent(requests: list[str]) -> list[str]:
 
 
 def hashed_vector(text: str, size: int = 64) -> list[float]:
-    """A bag of words as a vector: each word adds +1 or -1 at a place of its hash."""
+    """A bag of words as a vector: each word adds +1 or -1 at a place of its MD5."""
     v = [0.0] * size
     for w in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        v[h % size] += 1.0 if h >> 63 else -1.0
+        h = hashlib.md5(w.encode()).hexdigest()
+        v[int(h[:8], 16) % size] += 1.0 if int(h[8], 16) >= 8 else -1.0
     return v

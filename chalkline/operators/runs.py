@@ -32,6 +32,16 @@ def assembled(segments: DataFrame, fused: DataFrame, frames: DataFrame, boards:
     return out.select("run_id", (F.col("seg_idx") + 1).alias("id"), "start", "end", F.col("text").alias("original_text"), empty("fused_text"), empty("frame_path"), "frame_time", empty("board_text"), empty("audio_path"))
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """(run_id, segments, audio_files, boards) of result rows: what isn't empty counts."""
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("audio_path") != "").alias("audio_files"), F.count_if(F.col("board_text") != "").alias("boards"))
+
+
+def guard(status: Column, has_vectors: Column) -> Column:
+    """The answer to a request for a run: 404 if there is none, 400 if it isn't completed or can't be searched, else 200."""
+    return F.when(status.isNull(), 404).when((status != "completed") | ~F.coalesce(has_vectors, F.lit(False)), 400).otherwise(200)
+
+
 def packaged(rows: DataFrame, by: str = "run_id", order: str = "id", name: str = "segments") -> DataFrame:
     """(run_id, total, name): one row for each run with its rows, in order, as an array of structs. A run is one recording."""
     others = [c for c in rows.columns if c not in (by, order)]

@@ -1,3 +1,3 @@
 """Queries, by module; importing this package registers them."""
 
-from . import lecture, media, rewriting  # noqa: F401
+from . import ingest, lecture, media, models, rewriting, sinks  # noqa: F401

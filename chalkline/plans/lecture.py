@@ -31,7 +31,8 @@ def _middle(df: DataFrame) -> DataFrame:
     return df.withColumn("mid_s", t.midpoint(F.col("start_s"), F.col("end_s")))
 
 
-def _first_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shown_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the board that their nearest frame shows, where the run shows it for the first time."""
     near = align.nearest(_middle(segments(spark, sf_dir)), board_keys(spark, sf_dir), "mid_s", ["doc_id"])  # texts join when each segment has its frame
     return dedup.first_boards(with_boards(near, spark, sf_dir, "board"))
 
@@ -40,6 +41,9 @@ _FIRST_BOARD = f"""boarded AS (
   SELECT run_id, seg_idx, CASE WHEN n <> '' AND row_number() OVER (PARTITION BY run_id, n ORDER BY seg_idx) = 1 THEN {_CLEAN.format('board')} END AS board
   FROM (SELECT s.run_id, s.seg_idx, seen.board, {_NORM.format("coalesce(seen.board, '')")} AS n FROM segments s LEFT JOIN seen ON seen.run_id = s.run_id AND seen.seg_idx = s.seg_idx))"""
 
+#: Nearest frames and first boards, for the SQL of other queries.
+NEAREST = f"{_FRAME}, {_BOARD}, {_FIRST_BOARD}"
+
 
 @query(f"""WITH {SEGMENTS_SQL}, {FRAMES_SQL}, {OCR_SQL}, {_FRAME}, {_BOARD}, {_FIRST_BOARD}
 SELECT s.run_id, s.seg_idx, s.start_s, s.end_s, {_clauses('s.text')} AS text, coalesce(near.frame_idx, -1) AS frame_idx, coalesce(near.frame_time, -1) AS frame_time, coalesce(boarded.board, '') AS board
@@ -78,7 +82,7 @@ def nearest_frame_asof(spark, sf_dir):
 
 @query(f"WITH {SEGMENTS_SQL}, {FRAMES_SQL}, {OCR_SQL}, {_BOARD}, {_FIRST_BOARD} SELECT run_id, seg_idx, coalesce(board, '') AS board FROM boarded")
 def nearest_ocr_board(spark, sf_dir):
-    return _first_boards(spark, sf_dir).select("run_id", "seg_idx", F.coalesce("board", F.lit("")).alias("board"))
+    return shown_boards(spark, sf_dir).select("run_id", "seg_idx", F.coalesce("board", F.lit("")).alias("board"))
 
 
 @query(f"""WITH {SEGMENTS_SQL}, {FRAMES_SQL}

@@ -20,10 +20,14 @@ WHERE frame_number <= total_frames"""
 
 @query(_STRIDE)
 def frame_stride_sample(spark, sf_dir):
+    return sampled_frames(spark, sf_dir).drop("path")
+
+
+def sampled_frames(spark, sf_dir):
     """A recording for each user, sampled every three seconds."""
     v = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg((F.count(F.lit(1)) * 100).alias("total_frames"))
     v = v.select("run_id", "total_frames", F.when(F.col("run_id") % 2 == 0, 25.0).otherwise(30.0).alias("fps"), (F.col("run_id") % 3).cast("double").alias("start_time"), F.lit(None).cast("double").alias("end_time"))
-    return files.sampled(v, 3.0).drop("path")
+    return files.sampled(v, 3.0)
 
 
 _VECTORS = """v AS (SELECT label AS run_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS n, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"""
@@ -152,10 +156,20 @@ def pixel_change_ratio(spark, sf_dir):
     return _pairs(spark, sf_dir).select("vec_id", F.round(sig.changed_ratio(F.col("p"), F.col("q")), 6).alias("ratio"))
 
 
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query, e.vec_id, {_COS.format('q.e', 'e.e')} AS score FROM e q JOIN e ON q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.30)
+SELECT query, vec_id, round(score, 6) AS score FROM r WHERE r <= 5""")
+def semantic_search_topk(spark, sf_dir):
+    """For every twentieth vector the five most like it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.top_k_each(e, e.where("vec_id % 20 = 0"), "vec_id").withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT e AS q FROM e WHERE vec_id = 0)
 SELECT vec_id, round({_COS.format('e', 'q')}, 6) AS score FROM e, q WHERE {_COS.format('e', 'q')} >= 0.30 ORDER BY {_COS.format('e', 'q')} DESC, vec_id LIMIT 5""")
-def semantic_search_topk(spark, sf_dir):
-    """The five vectors most like vector 0."""
+def search_one(spark, sf_dir):
+    """The five vectors most like one vector, as a question asks."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id = 0").select("embedding").first()  # one vector
     return search.top_k(e, list(asked[0]) if asked else [], order="vec_id").select("vec_id", F.round("score", 6).alias("score"))
@@ -198,7 +212,7 @@ _LOG = """log AS (SELECT 'success' AS status, CAST(event_id AS VARCHAR) AS video
 UNION ALL SELECT 'failed', CAST(event_id AS VARCHAR), '', 'lost' FROM events WHERE event_type = 'error')"""
 
 
-def _log(spark, sf_dir):
+def experiment_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     good = e.where("event_type <> 'error'").select(F.col("event_id").cast("string").alias("video"), F.concat(F.lit("out/"), F.col("user_id").cast("string")).alias("output_dir"))
     bad = e.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("video"), F.lit("lost").alias("error"))
@@ -207,9 +221,9 @@ def _log(spark, sf_dir):
 
 @query(f"WITH {_LOG} SELECT * FROM log")
 def experiment_union(spark, sf_dir):
-    return _log(spark, sf_dir).select("status", "video", F.coalesce("output_dir", F.lit("")).alias("output_dir"), F.coalesce("error", F.lit("")).alias("error"))
+    return experiment_log(spark, sf_dir).select("status", "video", F.coalesce("output_dir", F.lit("")).alias("output_dir"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query(f"WITH {_LOG} SELECT status, count(*) AS n FROM log GROUP BY status")
 def experiment_tally(spark, sf_dir):
-    return runs.tally(_log(spark, sf_dir))
+    return runs.tally(experiment_log(spark, sf_dir))

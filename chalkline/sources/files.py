@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import VIDEO_SUFFIXES, seconds, suffix
 from ..operators.sentences import words_to_sentences
@@ -37,7 +37,12 @@ def uploaded(spark: SparkSession, path: str) -> DataFrame:
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, base64) of the files of a folder, as models take them."""
-    return spark.read.format("binaryFile").load(folder).select("path", F.base64("content").alias("base64"))
+    return spark.read.format("binaryFile").load(folder).select("path", encoded(F.col("content")).alias("base64"))
+
+
+def encoded(content: Column) -> Column:
+    """Base64 in one line; Spark breaks it into lines of 76."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def section(start: Column, end: Column) -> Column:
@@ -50,6 +55,12 @@ def option_error(exists: Column, quality: Column, interval: Column) -> Column:
     return F.when(~exists, "no such video").when(~quality.between(1, 100), "quality must be from 1 to 100").when(~(interval > 0), "interval must be positive")
 
 
+def in_order(frames: DataFrame, time: str, place: str) -> DataFrame:
+    """frames with `place` by run: by time, where a missing one counts as 0, then by their place in the input."""
+    w = Window.partitionBy("run_id").orderBy(F.coalesce(F.col(time), F.lit(0.0)), place)
+    return frames.withColumn("place", F.row_number().over(w).cast("long") - 1)
+
+
 def duration(fps: Column, frames: Column) -> Column:
     return F.when(fps > 0, frames / fps).otherwise(F.lit(0.0))
 
@@ -131,19 +142,6 @@ def spoken_rest(replies: DataFrame) -> DataFrame:
     return grouped.unionByName(s.select("run_id", F.col("seg_idx").cast("long").alias("seg_idx"), seconds(F.col("s.start")).alias("start"), seconds(F.col("s.end")).alias("end"), "s.text"))
 
 
-def polled(ask, waits: list[float], sleep) -> dict:
-    """The first answer of ask() whose status is final; sleeps between asking, and gives up when the waits are used up."""
-    for wait in [*waits, None]:
-        got = ask()
-        if got.get("status") == "completed":
-            return got
-        if got.get("status") == "error":
-            raise RuntimeError(got.get("error") or "the service failed")
-        if wait is not None:
-            sleep(wait)
-    raise TimeoutError("no final status")
-
-
 def summary(spark: SparkSession, path: str, schema: str = "video string, status string, run_id string, output_dir string, error string") -> DataFrame:
     """The experiment summary at path; empty if there is none."""
     try:

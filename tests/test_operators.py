@@ -173,8 +173,8 @@ def test_media(spark):
 def test_polling():
     replies = iter([{"status": "queued"}, {"status": "processing"}, {"status": "completed", "text": "x"}])
     slept = []
-    assert files.polled(lambda: next(replies), [5.0] * 9, slept.append)["text"] == "x" and slept == [5.0, 5.0]
+    assert providers.polled(lambda: next(replies), [5.0] * 9, slept.append)["text"] == "x" and slept == [5.0, 5.0]
     with pytest.raises(RuntimeError):
-        files.polled(lambda: {"status": "error"}, [], slept.append)
+        providers.polled(lambda: {"status": "error"}, [], slept.append)
     with pytest.raises(TimeoutError):
-        files.polled(lambda: {"status": "queued"}, [], slept.append)
+        providers.polled(lambda: {"status": "queued"}, [], slept.append)
