@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules
-from .rules import Cases, Put, Sub, Trim
+from .rules import Cases, Gate, Put, Sub, Trim
 
 # The commands and operators that have words, and the words.
 GREEK = ["alpha", "beta", "gamma", "delta", "epsilon", "theta", "lambda", "mu", "pi", "sigma", "phi", "omega", "Delta", "Sigma", "Omega"]
@@ -16,34 +16,38 @@ BRACKETS = {"(": " of ", ")": " ", "[": " ", "]": " ", "{": " ", "}": " "}
 _POWERS = (("2", "squared"), ("3", "cubed"), ("-1", "to the minus 1"))
 
 
-def _powers(exponent: str, group: str) -> Cases:
+def _powers(exponent: str, group: str) -> Gate:
     """A base before ^ and an exponent; group is the exponent's pattern with one group."""
     base = r"([a-zA-Z0-9]+)\^"
-    return Cases(rf"[a-zA-Z0-9]+\^{exponent}", tuple((base + group.format(v), rf"\1 {word}") for v, word in _POWERS) + ((base + group.format("(.+?)"), r"\1 to the power of \2"),), "[a-zA-Z0-9]+|[^a-zA-Z0-9]+")
+    one = Cases(rf"[a-zA-Z0-9]+\^{exponent}", tuple((base + group.format(v), rf"\1 {word}") for v, word in _POWERS) + ((base + group.format("(.+?)"), r"\1 to the power of \2"),), "[a-zA-Z0-9]+|[^a-zA-Z0-9]+", r"(?:[^a-zA-Z0-9]+|[a-zA-Z0-9]++(?!\^))++")
+    return Gate(r"\^", (one,))
 
 
-#: The order matters: each rule sees what the ones before it have left.
+#: Fixed values too are the patterns. The order matters: each rule sees what the ones before it have left.
 RULES = [
     Sub(r"\\\[|\\\]|\\\(|\\\)", ""),
     Put("$", ""),
-    *(Put("\\" + g, g) for g in GREEK),
-    Sub(r"\\frac\{\s*([^{}]+?)\s*\}\{\s*([^{}]+?)\s*\}", r"\1 over \2"),
-    Sub(r"\\sqrt\{\s*([^{}]+?)\s*\}", r"square root of \1"),
-    Sub(r"\\lim_\{\s*([^}]+?)\s*\\to\s*([^}]+?)\s*\}", r"limit as \1 approaches \2 of"),
-    Sub(r"\\int_\{\s*([^}]+?)\s*\}\^\{\s*([^}]+?)\s*\}", r"integral from \1 to \2 of"),
-    Sub(r"\\int\^\{[^}]+\}", "integral of"),
-    Put("\\int", "integral of"),
-    Sub(r"\\sum_\{\s*([^}]+?)\s*\}\^\{\s*([^}]+?)\s*\}", r"sum from \1 to \2 of"),
-    Sub(r"\\sum\^\{[^}]+\}", "sum of"),
-    Put("\\sum", "sum of"),
+    Gate(r"\\", (
+        *(Put("\\" + g, g) for g in GREEK),
+        Sub(r"\\frac\{\s*([^{}]+?)\s*\}\{\s*([^{}]+?)\s*\}", r"\1 over \2"),
+        Sub(r"\\sqrt\{\s*([^{}]+?)\s*\}", r"square root of \1"),
+        Sub(r"\\lim_\{\s*([^}]+?)\s*\\to\s*([^}]+?)\s*\}", r"limit as \1 approaches \2 of"),
+        Sub(r"\\int_\{\s*([^}]+?)\s*\}\^\{\s*([^}]+?)\s*\}", r"integral from \1 to \2 of"),
+        Sub(r"\\int\^\{[^}]+\}", "integral of"),
+        Put("\\int", "integral of"),
+        Sub(r"\\sum_\{\s*([^}]+?)\s*\}\^\{\s*([^}]+?)\s*\}", r"sum from \1 to \2 of"),
+        Sub(r"\\sum\^\{[^}]+\}", "sum of"),
+        Put("\\sum", "sum of"),
+    )),
     _powers(r"\{[^}]+\}", r"\{{\s*{}\s*\}}"),
     _powers("[a-zA-Z0-9]", "{}"),
-    Sub(r"([a-zA-Z0-9]+)_\{([^}]+)\}", r"\1 sub \2"),
-    Sub(r"([a-zA-Z0-9]+)_([a-zA-Z0-9])", r"\1 sub \2"),
-    *(Put("\\" + k, v) for k, v in FUNCTIONS.items()),
-    Sub(r"\\(?:left|right)([(\[{)\]}])", r"\1"),
-    Sub(r"\\[,;:!]", " "),
-    Sub(r"\\(?:text|mathrm|mathbf)\{([^}]+)\}", r"\1"),
+    Gate("_", (Sub(r"([a-zA-Z0-9]+)_\{([^}]+)\}", r"\1 sub \2"), Sub(r"([a-zA-Z0-9]+)_([a-zA-Z0-9])", r"\1 sub \2"))),
+    Gate(r"\\", (
+        *(Put("\\" + k, v) for k, v in FUNCTIONS.items()),
+        Sub(r"\\(?:left|right)([(\[{)\]}])", r"\1"),
+        Sub(r"\\[,;:!]", " "),
+        Sub(r"\\(?:text|mathrm|mathbf)\{([^}]+)\}", r"\1"),
+    )),
     *(Put(k, v) for k, v in OPERATORS.items()),
     *(Put(k, v) for k, v in BRACKETS.items()),
     Sub(r"(\d+)([a-zA-Z])", r"\1 \2"),

@@ -62,6 +62,7 @@ class Cases:
     pattern: str
     cases: tuple[tuple[str, str], ...]
     between: str = "."
+    stretch: str = ""  # on the Spark side: as much text as surely holds no match, possessive, so that a text is few pieces
 
     def column(self, c: Column) -> Column:
         def one(token: Column) -> Column:
@@ -71,13 +72,44 @@ class Cases:
                 out = out.when(token.rlike(whole), F.regexp_replace(token, whole, _java(template)))
             return out.otherwise(token)
 
-        return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)((?:{self.pattern})|{self.between}|.)"), F.lit(1)), one), "")
+        stretch = f"{self.stretch}|" if self.stretch else ""
+        return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)({stretch}(?:{self.pattern})|{self.between}|.)"), F.lit(1)), one), "")
 
     def sql(self, x: str) -> str:
         whens = " ".join(f"WHEN regexp_full_match(k, {_quote('(?s)(?:' + p + ')')}) THEN regexp_replace(k, {_quote('(?s)^(?:' + p + ')$')}, {_quote(t)})" for p, t in self.cases)
         return f"array_to_string(list_transform(regexp_extract_all({x}, {_quote(f'(?s)(?:{self.pattern})|{self.between}|.')}), lambda k: CASE WHEN NOT regexp_full_match(k, {_quote('(?s)(?:' + self.pattern + ')')}) THEN k {whens} ELSE k END), '')"
 
 
+@dataclass(frozen=True)
+class Table:
+    """Single characters and what stands for them, in one pass; nothing that stands for one may hold another."""
+
+    words: tuple[tuple[str, str], ...]
+
+    def column(self, c: Column) -> Column:
+        some = "".join(re.escape(k) for k, _ in self.words)
+        table = F.create_map(*[F.lit(x) for pair in self.words for x in pair])
+        pieces = F.regexp_extract_all(c, F.lit(f"(?s)([{some}]|[^{some}]++)"), F.lit(1))
+        return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.element_at(table, x), x)), "")
+
+    def sql(self, x: str) -> str:
+        return sql([Put(k, v) for k, v in self.words], x)
+
+
+@dataclass(frozen=True)
+class Gate:
+    """Rules for texts in which the pattern `needs` is found; in others none of them would change anything."""
+
+    needs: str
+    rules: tuple
+
+    def column(self, c: Column) -> Column:
+        return F.get(F.transform(F.array(c), lambda x: F.when(x.rlike(f"(?s){self.needs}"), column(self.rules, x)).otherwise(x)), 0)
+
+    def sql(self, x: str) -> str:
+        return sql(self.rules, x)
+
+
 @dataclass(frozen=True)
 class Trim:
     """Runs of white space become one blank, and none stays at the ends."""

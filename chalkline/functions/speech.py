@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules
-from .rules import Cases, Put, Sub, Trim
+from .rules import Cases, Gate, Put, Sub, Table, Trim
 
 # Symbols, names and numbers that have words, and the words, in the order of replacement.
 SYMBOLS = {
@@ -59,22 +59,22 @@ class Decimals:
         return rf"array_to_string(list_transform(regexp_extract_all({x}, '(?s){self.pattern}|\w+|\W+'), lambda k: CASE WHEN regexp_full_match(k, '\d+\.\d+') THEN concat({word}, ' point', {part}) ELSE k END), '')"
 
 
-HAT_RULES = [*(Put(k, v) for k, v in HATS.items()), Sub(r"([a-zA-Z])_hat", r"\1 hat")]
-ARROW_RULES = [Put(k, v) for k, v in ARROWS.items()]
-FUNCTION_RULES = [*(Sub(rf"(?i)\b{k}\(", f"{v} of (") for k, v in FUNCTIONS.items()), Sub(r"([a-zA-Z])\(", r"\1 of (")]
+HAT_RULES = [Gate("_hat|" + "|".join(HATS), (*(Put(k, v) for k, v in HATS.items()), Sub(r"([a-zA-Z])_hat", r"\1 hat")))]
+ARROW_RULES = [Gate("[" + "".join(ARROWS) + "]", tuple(Put(k, v) for k, v in ARROWS.items()))]
+FUNCTION_RULES = [Gate(r"[a-zA-Z]\(", (*(Sub(rf"(?i)\b{k}\(", f"{v} of (") for k, v in FUNCTIONS.items()), Sub(r"([a-zA-Z])\(", r"\1 of (")))]
 _CARET = r"([a-zA-Z0-9\)]+)\^"
 EXPONENT_RULES = [
-    *(Put(s, {"²": " squared", "³": " cubed"}.get(s, f" to the power of {DIGITS[i]}")) for i, s in enumerate(SUPERSCRIPTS)),
-    Cases(r"[a-zA-Z0-9\)]+\^[a-zA-Z0-9\-\+]+", ((_CARET + "2", r"\1 squared"), (_CARET + "3", r"\1 cubed"), (_CARET + "1", r"\1"), (_CARET + r"([a-zA-Z0-9\-\+]+)", r"\1 to the power of \2")), r"[a-zA-Z0-9\)]+|[^a-zA-Z0-9\)]+"),
+    Gate(f"[{SUPERSCRIPTS}]", tuple(Put(s, {"²": " squared", "³": " cubed"}.get(s, f" to the power of {DIGITS[i]}")) for i, s in enumerate(SUPERSCRIPTS))),
+    Gate(r"\^", (Cases(r"[a-zA-Z0-9\)]+\^[a-zA-Z0-9\-\+]+", ((_CARET + "2", r"\1 squared"), (_CARET + "3", r"\1 cubed"), (_CARET + "1", r"\1"), (_CARET + r"([a-zA-Z0-9\-\+]+)", r"\1 to the power of \2")), r"[a-zA-Z0-9\)]+|[^a-zA-Z0-9\)]+", r"(?:[^a-zA-Z0-9\)]+|[a-zA-Z0-9\)]++(?!\^))++"),)),
 ]
-COEFFICIENT_RULES = [Cases(r"[+-]?\d+[a-zA-Z]", (
+COEFFICIENT_RULES = [Gate(r"\d[a-zA-Z]", (Cases(r"[+-]?\d+[a-zA-Z]", (
     ("-1([a-zA-Z])", r"negative \1"), (r"\+?1([a-zA-Z])", r"\1"),
     *((f"-{i}([a-zA-Z])", rf"negative {w} times \1") for i, w in enumerate(_COUNTED)), *((rf"\+?{i}([a-zA-Z])", rf"{w} times \1") for i, w in enumerate(_COUNTED)),
-    (r"-(\d+)([a-zA-Z])", r"negative \1 times \2"), (r"\+?(\d+)([a-zA-Z])", r"\1 times \2")), r"\d+|[^+\-\d]+")]
-FRACTION_RULES = [*(Put(k, v) for k, v in FRACTIONS.items()), Sub(r"([a-zA-Z0-9\+\-\*]+)/([a-zA-Z0-9\+\-\*]+)", r"\1 over \2")]
+    (r"-(\d+)([a-zA-Z])", r"negative \1 times \2"), (r"\+?(\d+)([a-zA-Z])", r"\1 times \2")), r"\d+|[^+\-\d]+"),))]
+FRACTION_RULES = [Gate("/", (*(Put(k, v) for k, v in FRACTIONS.items()), Sub(r"([a-zA-Z0-9\+\-\*]+)/([a-zA-Z0-9\+\-\*]+)", r"\1 over \2")))]
 SUBSCRIPT_RULES = [Sub(r"([a-zA-Z])_([a-zA-Z0-9]+)", r"\1 sub \2")]
-DECIMAL_RULES = [Decimals()]
-SYMBOL_RULES = [Put(k, v) for k, v in SYMBOLS.items()]
+DECIMAL_RULES = [Gate(r"\d\.\d", (Decimals(),))]
+SYMBOL_RULES = [Table(tuple(SYMBOLS.items()))]
 #: All of them, in the order in which they see the text.
 SPEECH_RULES = [*HAT_RULES, *ARROW_RULES, *FUNCTION_RULES, *EXPONENT_RULES, *COEFFICIENT_RULES, *FRACTION_RULES, *SUBSCRIPT_RULES, *DECIMAL_RULES, *SYMBOL_RULES, Trim()]
 
