@@ -1,13 +1,13 @@
 """License scans: ordered signature rules.
 
-A rule is a regular expression with a priority, a label, a confidence and a
-literal keyword that any match contains, once runs of white space are folded to
-one blank. Rules are made of NAMES (licences) and FORMS (ways to refer to one). A
-text is searched with a rule only if its folded copy contains the rule's keyword;
-GATES, which are single words or hold no flexible white space, are looked for in
-the bytes of a whole block at once, so texts without any cost next to nothing. Detections are taken
-in the order of priority, and one whose interval lies within that of a taken
-detection is suppressed.
+A rule (license_rules.py) is a regular expression with a priority, a label and a
+confidence. Its keywords are read off its syntax: literals without white space of
+which any match must hold one, so the prefilter can't hide a match. A text is
+searched with a rule only if it holds one of the rule's keywords, and at all only
+if it holds one of a few gates that cover all keywords and are looked for in the
+bytes of a whole block at once. Detections are taken in the order of priority;
+one whose interval lies within that of a taken detection, or overlaps it, is
+suppressed, so "Attribution-NonCommercial" is not "Attribution" as well.
 
 Beside the rules stands the base search: places where the words of a phrase of
 PHRASES stand one after another, whatever lies between the words.
@@ -15,8 +15,6 @@ PHRASES stand one after another, whatever lies between the words.
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,92 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernels import Words, blocks
+from .license_rules import gates, rules
 from .storage import table
 
 #: Phrases of the base search and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label, the licence's name, its identifiers, a literal that the name contains, one that the identifiers contain
-NAMES = [
-    ("agpl", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[cs]e|\bagpl(?:v?\d)?\b", r"agpl-\d\.\d(?:-only|-or-later)?", ("affero", "agpl"), "agpl"),
-    ("lgpl", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public\s+licen[cs]e|\blgpl(?:v?\d)?\b", r"lgpl-\d\.\d(?:-only|-or-later)?", ("general public", "lgpl"), "lgpl"),
-    ("gpl", r"gnu\s+general\s+public\s+licen[cs]e|\bgnu\s+gpl\b|\bgpl(?:v\d)?\b", r"gpl-\d\.\d(?:-only|-or-later|\+)?", ("gnu", "gpl"), "gpl"),
-    ("gfdl", r"(?:gnu\s+)?free\s+documentation\s+licen[cs]e|\bgfdl\b", r"gfdl-\d\.\d(?:-only|-or-later)?", ("free documentation", "gfdl"), "gfdl"),
-    ("apache", r"apache\s+(?:software\s+)?licen[cs]e", r"apache-\d\.\d", ("apache",), "apache"),
-    ("mit", r"\bmit\s+licen[cs]e|\bexpat\s+licen[cs]e", r"mit(?:-0)?\b", ("licen",), "mit"),
-    ("bsd-4-clause", r"(?:original|old|four[- ]clause|4[- ]clause)\s+bsd\s+licen[cs]e", r"bsd-4-clause", ("bsd",), "bsd"),
-    ("bsd-3-clause", r"(?:new|modified|revised|three[- ]clause|3[- ]clause)\s+bsd\s+licen[cs]e", r"bsd-3-clause", ("bsd",), "bsd"),
-    ("bsd-2-clause", r"(?:simplified|freebsd|two[- ]clause|2[- ]clause)\s+(?:bsd\s+)?licen[cs]e", r"bsd-2-clause", ("clause", "simplified", "freebsd"), "bsd"),
-    ("bsd", r"\bbsd(?:-style)?\s+licen[cs]e", r"0bsd", ("bsd",), "bsd"),
-    ("isc", r"\bisc\s+licen[cs]e", r"isc\b", ("isc",), "isc"),
-    ("mpl", r"mozilla\s+public\s+licen[cs]e|\bmpl\s+\d\.\d", r"mpl-\d\.\d", ("mozilla", "mpl"), "mpl"),
-    ("epl", r"eclipse\s+public\s+licen[cs]e", r"epl-\d\.\d", ("eclipse",), "epl"),
-    ("edl", r"eclipse\s+distribution\s+licen[cs]e", r"edl-\d\.\d", ("eclipse",), "edl"),
-    ("cddl", r"common\s+development\s+and\s+distribution\s+licen[cs]e|\bcddl\b", r"cddl-\d\.\d", ("common development", "cddl"), "cddl"),
-    ("cpl", r"common\s+public\s+licen[cs]e", r"cpl-\d\.\d", ("common public",), "cpl"),
-    ("eupl", r"european\s+union\s+public\s+licen[cs]e|\beupl\b", r"eupl-\d\.\d", ("european union", "eupl"), "eupl"),
-    ("artistic", r"artistic\s+licen[cs]e", r"artistic-\d\.\d", ("artistic",), "artistic"),
-    ("boost", r"boost\s+software\s+licen[cs]e", r"bsl-1\.0", ("boost",), "bsl"),
-    ("bsl", r"business\s+source\s+licen[cs]e", r"busl-1\.1", ("business source",), "busl"),
-    ("zlib", r"\bzlib(?:/libpng)?\s+licen[cs]e", r"zlib\b", ("zlib",), "zlib"),
-    ("unlicense", r"\bthe\s+unlicense\b", r"unlicense\b", ("unlicense",), "unlicense"),
-    ("wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[cs]e|\bwtfpl\b", r"wtfpl", ("do what", "wtfpl"), "wtfpl"),
-    ("postgresql", r"postgresql\s+licen[cs]e", r"postgresql\b", ("postgresql",), "postgresql"),
-    ("python", r"python\s+software\s+foundation\s+licen[cs]e|\bpsf\s+licen[cs]e", r"psf-\d\.\d|python-\d\.\d", ("python", "psf"), "p"),
-    ("php", r"\bphp\s+licen[cs]e", r"php-\d\.\d\d?", ("php",), "php"),
-    ("ruby", r"\bruby\s+licen[cs]e", r"ruby\b", ("ruby",), "ruby"),
-    ("openssl", r"\bopenssl\s+licen[cs]e", r"openssl\b", ("openssl",), "openssl"),
-    ("ofl", r"(?:sil\s+)?open\s+font\s+licen[cs]e", r"ofl-\d\.\d", ("open font",), "ofl"),
-    ("odbl", r"open\s+(?:data\s+commons\s+open\s+)?database\s+licen[cs]e|\bodbl\b", r"odbl-\d\.\d", ("database", "odbl"), "odbl"),
-    ("odc-by", r"open\s+data\s+commons\s+attribution\s+licen[cs]e", r"odc-by-\d\.\d", ("open data",), "odc"),
-    ("cc0", r"\bcc0\b|creative\s+commons\s+zero", r"cc0-\d\.\d", ("cc0", "commons zero"), "cc0"),
-    ("cc-by-nc-nd", r"\bcc[ -]by[ -]nc[ -]nd\b|attribution[ -]noncommercial[ -]noderiv\w*", r"cc-by-nc-nd-\d\.\d", ("nc-nd", "nc nd", "noncommercial"), "nc-nd"),
-    ("cc-by-nc-sa", r"\bcc[ -]by[ -]nc[ -]sa\b|attribution[ -]noncommercial[ -]sharealike", r"cc-by-nc-sa-\d\.\d", ("nc-sa", "nc sa", "noncommercial"), "nc-sa"),
-    ("cc-by-nc", r"\bcc[ -]by[ -]nc\b|attribution[ -]noncommercial", r"cc-by-nc-\d\.\d", ("by-nc", "by nc", "noncommercial"), "by-nc"),
-    ("cc-by-nd", r"\bcc[ -]by[ -]nd\b|attribution[ -]noderiv\w*", r"cc-by-nd-\d\.\d", ("by-nd", "by nd", "noderiv"), "by-nd"),
-    ("cc-by-sa", r"\bcc[ -]by[ -]sa\b|attribution[ -]sharealike", r"cc-by-sa-\d\.\d", ("by-sa", "by sa", "sharealike"), "by-sa"),
-    ("cc-by", r"\bcc[ -]by\b|creative\s+commons\s+attribution(?:\s+\d\.\d)?", r"cc-by-\d\.\d", ("cc by", "cc-by", "creative commons"), "cc-by"),
-    ("public-domain", r"public\s+domain(?:\s+dedication)?", r"public-domain", ("domain",), "public-domain"),
-    ("proprietary", r"all\s+rights\s+reserved|proprietary\s+and\s+confidential", r"licenseref-proprietary", ("all rights", "proprietary"), "proprietary"),
-    ("bespoke-eula", r"end[- ]user\s+licen[cs]e\s+agreement|\beula\b", r"licenseref-eula", ("end user", "end-user", "eula"), "eula"),
-]
-#: Ways to refer to a licence, from the surest: pattern, confidence, whether it is about identifiers. Earlier ones have priority.
-FORMS = [
-    (r"spdx-licen[cs]e-identifier\s{{0,4}}:\s{{0,4}}(?:{id})", 1.0, True),
-    (r"(?:licen[cs]ed|released|distributed|redistributed|published|available|made\s+available)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:{name})(?:,?\s+v(?:ersion)?\.?\s{{0,2}}\d+(?:\.\d+)*)?", 0.95, False),
-    (r"(?:subject\s+to|governed\s+by|covered\s+by|in\s+accordance\s+with)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:{name})(?:,?\s+v(?:ersion)?\.?\s{{0,2}}\d+(?:\.\d+)*)?", 0.9, False),
-    (r"(?:{name}),?\s+v(?:ersion)?\.?\s{{0,2}}\d+(?:\.\d+)*(?:\s+or\s+(?:any\s+)?later(?:\s+version)?)?", 0.85, False),
-    (r"licen[cs]e\s{{0,4}}[:=]\s{{0,4}}[\"']?(?:{id}|{name})", 0.8, None),
-    (r"(?:{name})\s+(?:file|text|notice|agreement|terms|header|applies)", 0.7, False),
-    (r"(?:{name})", 0.6, False),
-]
-#: Whole-licence signatures that name no licence.
-TEXTS = [
-    ("mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge", 0.9, "permission is"),
-    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 0.9, "permission to"),
-    ("bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 0.9, "redistribution and"),
-    ("gpl", r"this\s+program\s+is\s+free\s+software[:;,]?\s+you\s+can\s+redistribute\s+it", 0.9, "free software"),
-    ("zlib", r"this\s+software\s+is\s+provided\s+'as-is',\s+without\s+any\s+express", 0.85, "as-is"),
-    ("unlicense", r"this\s+is\s+free\s+and\s+unencumbered\s+software", 0.9, "unencumbered"),
-]
-
-
-@dataclass(frozen=True)
-class Rule:
-    priority: int
-    label: str
-    pattern: re.Pattern
-    confidence: float
-    keywords: tuple[str, ...]  # any of them is in each match whose white space is folded
-
-
-@lru_cache(maxsize=1)
-def rules() -> list[Rule]:
-    out = [Rule(0, label, re.compile(p), c, (k,)) for label, p, c, k in TEXTS]
-    for form, (pattern, confidence, ids) in enumerate(FORMS):
-        for order, (label, name, ident, words, key) in enumerate(NAMES):
-            keys = (key,) if ids else words if ids is False else (*words, key)
-            out.append(Rule(1 + form * len(NAMES) + order, label, re.compile(pattern.format(name=name, id=ident)), confidence, keys))
-    return sorted(out, key=lambda r: r.priority)
 
 
 @lru_cache(maxsize=1)
@@ -117,16 +34,15 @@ def keywords() -> list[str]:
     return sorted({k for r in rules() for k in r.keywords})
 
 
-def scan(text: str) -> list[tuple[str, int, int, float]]:
+def scan(text: str, prefilter: bool = True) -> list[tuple[str, int, int, float]]:
     """Detections (label, start, end, confidence) in a lower-cased text, in the order of their starts."""
-    folded = re.sub(r"\s+", " ", text)  # keywords hold single blanks where patterns take any white space
-    present = {k for k in keywords() if k in folded or k in text}
+    present = {k for k in keywords() if k in text} if prefilter else set(keywords())
     taken: list[tuple[str, int, int, float]] = []
     for r in rules():
         if present.isdisjoint(r.keywords):
             continue
         for m in r.pattern.finditer(text):
-            if not any(s <= m.start() and m.end() <= e for _, s, e, _ in taken):
+            if not any(s < m.end() and m.start() < e for _, s, e, _ in taken):
                 taken.append((r.label, m.start(), m.end(), r.confidence))
     return sorted(taken, key=lambda d: (d[1], -d[2], d[0]))
 
@@ -147,10 +63,6 @@ def _phrase_hashes() -> list[tuple[np.ndarray, str]]:
     return out
 
 
-#: One of these is in every match of a rule; texts without any are not searched.
-GATES = [b"licen", b"gpl", b"gfdl", b"cddl", b"eupl", b"mpl", b"wtfpl", b"odbl", b"cc0", b"cc by", b"cc-by", b"commons", b"attribution", b"domain", b"rights", b"proprietary", b"eula", b"permission", b"redistribution", b"software", b"as-is", b"unencumbered"]
-
-
 def _rows_with(data: bytes, offsets: np.ndarray, needles: list[bytes]) -> np.ndarray:
     found = np.zeros(len(offsets) - 1, bool)
     for needle in needles:
@@ -205,7 +117,7 @@ def licenses(documents: DataFrame) -> DataFrame:
         base = [",".join(sorted(s)) for s in labels]
         score, found = np.where(count > 0, 0.5, 0.0), [[] for _ in range(n)]
         whole = data.tobytes()
-        for r in np.flatnonzero(_rows_with(whole, offsets, GATES)):
+        for r in np.flatnonzero(_rows_with(whole, offsets, gates())):
             got = scan(whole[offsets[r] : offsets[r + 1]].decode("utf-8", "replace"))
             if got:
                 found[r] = [{"label": a, "start": s, "end": e, "confidence": c} for a, s, e, c in got]

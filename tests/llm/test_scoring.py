@@ -199,3 +199,34 @@ def test_quotes(spark):
         (1, 0, "Hello there\nHow are you?"): (0, -1, 0, 0), (1, 1, "Fine."): (1, 0, 1, 1), (1, 2, "Good"): (2, 1, 2, 2), (1, 3, ""): (3, 2, 2, 1),
         (1, 1500, "late"): (4, 2, 1, 1), (2, 0, ""): (0, -1, 0, 0), (2, 0, "Good"): (1, -1, 0, 0), (None, 1, ""): (None, -1, 1, 0),
     }
+
+
+def test_license_prefilter_hides_no_match():
+    import random
+
+    from chalkline.llm.license_rules import gates, rules
+    from chalkline.llm.licenses import scan
+
+    random.seed(5)
+    cases = {
+        "redistribution\nand use in source and binary forms": {"bsd"}, "permission  to use, copy, modify, and distribute this software": {"isc"},
+        "released under the gnu lesser general\n * public license": {"lgpl"}, "sil open\nfont license": {"ofl"}, "creative\ncommons attribution 4.0": {"cc-by"},
+        "this program is free\nsoftware; you can redistribute it": {"gpl"}, "creative commons attribution-noncommercial 4.0": {"cc-by-nc"}, "creative commons attribution-sharealike": {"cc-by-sa"},
+        "apache 2.0 license": {"apache"}, "the simplified license": set(), "cc by-nc-nd and cc by 4.0": {"cc-by-nc-nd", "cc-by"}, "all\nrights reserved": {"proprietary"}, "": set(),
+    }
+    for text, labels in cases.items():
+        assert {d[0] for d in scan(text)} == labels, text
+        assert scan(text) == scan(text, prefilter=False)
+        assert not labels or any(g.decode() in text for g in gates())
+    words = sorted({w for text in cases for w in text.split()} | {"license", "version", "2.0", "mit", "bsd", "gnu", "public", "domain", "under", "the", "commons", "zero"})
+    for _ in range(300):
+        text = "".join(random.choice(words) + random.choice([" ", "  ", "\n", "\n * ", "-"]) for _ in range(40))
+        assert scan(text) == scan(text, prefilter=False)
+    assert len(rules()) > 200 and all(r.keywords for r in rules())
+
+
+def test_license_intervals_do_not_overlap():
+    from chalkline.llm.licenses import scan
+
+    got = scan("licensed under the apache license, version 2.0 (the \"license\"); attribution-noncommercial-sharealike 4.0, gnu gpl v3 or gnu general public license v2 or later")
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:])) and len(got) >= 4
