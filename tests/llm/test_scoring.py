@@ -230,3 +230,50 @@ def test_license_intervals_do_not_overlap():
 
     got = scan("licensed under the apache license, version 2.0 (the \"license\"); attribution-noncommercial-sharealike 4.0, gnu gpl v3 or gnu general public license v2 or later")
     assert all(a[2] <= b[1] for a, b in zip(got, got[1:])) and len(got) >= 4
+
+
+def test_query_ids_are_those_of_the_library_and_decode(spark, tmp_path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL_PATH)
+    rows = [(1, None), (2, ""), (3, "  two  blanks "), (4, "a\n\tb\r\n c"), (5, "日本語 テスト 🙂 naïve"), (6, "mark▁inside ▁"), (7, "y" * 5000), (8, " "), (9, "x" * 39 + " " + "é" * 41), (None, "Hello world"), (1, "again")]
+    folder = h.saved(spark, tmp_path, rows)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for table in (spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), docs):
+        out = sentencepiece_fst.tokens(table).collect()
+        texts = sorted((r.doc_id or -1, r.text or "") for r in table.collect())
+        assert sorted((r.doc_id or -1, list(r.ids)) for r in out) == sorted((d, library.encode(t)) for d, t in texts)
+        assert all(r.round_trip for r in out) and all(r.n_tokens == len(r.ids) for r in out)
+        back = sentencepiece_fst.texts(sentencepiece_fst.tokens(table)).collect()
+        assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((d, t.replace("▁", " ")) for d, t in texts)
+
+
+def test_forgetful_encoder_gives_the_same_ids(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from chalkline.llm.kernels import blocks
+
+    with open(sentencepiece_fst.MODEL_PATH, "rb") as f:
+        fst = sentencepiece_fst.Transducer.load(f.read())
+    texts = ["one two three", "two  three four\n", "", "three two"] * 5
+    monkeypatch.setattr(sentencepiece_fst, "REMEMBERED", 2)
+    monkeypatch.setattr(sentencepiece_fst, "PAIRS", 3)
+    encoder, got = sentencepiece_fst.Encoder(fst), []
+    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string()), size=20):
+        ids, counts, _ = encoder.encode(data, offsets)
+        got += [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [fst.encode(t) for t in texts]
+
+
+def test_shortest_path_equals_all_paths():
+    """A unigram model: the weight of the path is the least of all segmentations."""
+    pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
+    scores = [0.0, -1.0, -2.0, -2.5, -3.1, -2.2, -4.0, -5.6]
+    fst = sentencepiece_fst.Transducer(pieces, scores, [2, 1, 1, 1, 1, 1, 1, 1], bpe=False)
+
+    def least(text):
+        return 0.0 if not text else min(-scores[i] + least(text[len(p):]) for i, p in enumerate(pieces) if i and text.startswith(p))
+
+    for text in ("▁ab", "▁abba", "ababab▁a", "▁▁bab"):
+        assert abs(sum(-scores[i] for i in fst.shortest(text)) - least(text)) < 1e-9
