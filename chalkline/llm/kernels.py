@@ -35,6 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_BYTES2 = mix(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03) + _U(0xABCD))
 
 
 @lru_cache(maxsize=8)
@@ -107,8 +108,9 @@ class Words:
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(offsets) - 1), self.count)
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(running(_BYTES[self.data]), self.start, self.end)
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """Of the words; the second ones come from another byte table and base."""
+        return span_hash(running((_BYTES2 if second else _BYTES)[self.data], second), self.start, self.end, second)
 
     def windows(self, k: int) -> np.ndarray:
         """Indices of the words that start a window of k words of one row."""

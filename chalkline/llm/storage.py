@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +16,8 @@ def shared(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="chalkline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,23 +42,26 @@ def session(spark: SparkSession, **settings: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def swept(spark: SparkSession):
+    """The shuffles of queries in this block are removed as soon as each has ended."""
+    return session(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table of the shared folder: lost executors cost no more than a read. Also its path, for drop()."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    with session(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with swept(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Removes tables of written() that nothing reads any more, and lets Spark drop shuffles that nothing holds."""
+    """Removes tables of written() that nothing reads any more; their shuffles went when they were written."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -143,3 +143,31 @@ def test_index_compacts(spark):
     for i in range(6):
         index.add(table.where(F.col("doc") == i), table.where(F.col("doc") <= i))
     assert len(index.runs) <= substrings.MAX_RUNS and index.history().count() == substrings.entries(table).select("anchor", "span").distinct().count()
+
+
+def test_substrings_with_forced_collisions(spark, monkeypatch):
+    """Hashes of three bits at first: the index must find out and be built again."""
+    rng = random.Random(8)
+    rows = h.copies(8) + [(300 + i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(12)]
+    monkeypatch.setattr(substrings, "BITS", (3, 64, 64))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(h.documents(spark, rows), 2).collect()}
+    assert got == h.windows_removed(rows)
+
+
+def test_substring_index_is_taken_up_later(spark, tmp_path):
+    """Documents that come later are compared with the index that an earlier call left, and batches outnumber MAX_RUNS."""
+    rows = [r for r in h.copies(9) if r[0] is not None]
+    docs = h.documents(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    ids = sorted({d for d, _ in rows})
+    found = []
+    for k in range(6):
+        part = ids[k * len(ids) // 6 : (k + 1) * len(ids) // 6]
+        index = substrings.Index(spark, str(tmp_path / "index"))
+        assert len(index.runs) <= substrings.MAX_RUNS and bool(index.runs) == bool(k)
+        good, _ = index.add(docs.where(F.col("doc").between(part[0], part[-1])), docs.where(F.col("doc") <= part[-1]))
+        found += [(r.doc, r.start, r.stop) for r in good.collect()]
+    gone = {}
+    for d, a, b in found:
+        gone.setdefault(d, set()).update(range(a, b))
+    expected = {d: n for d, (_, n, _) in h.windows_removed(rows).items() if n}
+    assert {d: len(x) for d, x in gone.items()} == expected
