@@ -17,12 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .storage import drop, fresh, session, shared, written
+from .storage import drop, fresh, session, with_group, written
 
 #: Characters that don't count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Salts for the rows of one digest while bytes are compared.
-SALTS = 16
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -85,11 +83,12 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256) -> DataFrame:
         seen = spark.createDataFrame([], empty)
     # a digest changed by several runs: its last state
     last = seen.groupBy("digest").agg(F.max(F.struct("batch", "group_size", "keeper")).alias("s")).select("digest", "s.group_size", (-F.col("s.keeper.neg_id")).alias("keep_id"))
+    last, _ = written(last, "exact-last")
     keyed = docs.select("doc_id", normalised(F.col("text")).alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("n_points")).withColumn("digest", digest(F.col("norm")))
 
-    apart = _collided(keyed, last)
+    apart = _collided(keyed)
     if apart is None:
-        out = keyed.select("doc_id", "digest").join(last, "digest", "left")
+        out = with_group(keyed.select("doc_id", "digest"), last, "digest", "group_size", "doc_id")
     else:  # (digest, text) is the key wherever a digest has several texts
         groups = apart.select(F.col("digest").alias("d"), F.col("norm").alias("n"), F.col("group_size").alias("own_size"), F.col("keep_id").alias("own_keep"))
         out = keyed.join(last, "digest", "left").join(groups, (F.col("digest") == F.col("d")) & (F.col("norm") == F.col("n")), "left")
@@ -97,17 +96,15 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def _collided(keyed: DataFrame, last: DataFrame) -> DataFrame | None:
+def _collided(keyed: DataFrame) -> DataFrame | None:
     """Compares the bytes of all texts of each hit. None, or the groups of the digests whose texts differ.
 
-    The rows of a digest are spread over SALTS tasks, each of which keeps the
-    least and the greatest text; equal ends mean equal bytes throughout.
+    Each task first folds its own rows of a digest to their least and greatest
+    text, so a huge group sends two texts a task; equal ends mean equal bytes
+    throughout.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    hits = last.where("group_size > 1").select("digest", salts)
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    part = salted.join(hits, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-    wrong = part.groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("digest")
+    ends = keyed.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    wrong = ends.where("a <> b").select("digest")
     wrong, path = written(wrong, "exact-collisions")
     if wrong.isEmpty():
         drop(keyed.sparkSession, path)

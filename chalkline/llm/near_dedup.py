@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .kernels import Words, blocks, mix, running, signed, span_hash
-from .storage import NO_ID, drop, table, written
+from .storage import NO_ID, drop, table, with_group, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability 7e-5.
@@ -256,9 +256,9 @@ def near_dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     out = classes(docs, threshold)
-    sizes = out.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
+    sizes, _ = written(out.groupBy("class").agg(F.count(F.lit(1)).alias("class_size")), "near-sizes")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.join(sizes, "class").select(null("doc").alias("doc_id"), null("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
+    return with_group(out, sizes, "class", "class_size", "doc").select(null("doc").alias("doc_id"), null("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

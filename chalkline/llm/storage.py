@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: For null ids while rows are joined; SQL joins would lose them.
 NO_ID = -(2**63)
@@ -56,6 +56,27 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: A key is hot if more than one row in HOT has it; there are fewer than HOT such keys.
+HOT = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """rows (key, ...) with the columns of groups (key, size, ...), which has a row for each key; keys that groups lacks get nulls.
+
+    The groups of hot keys, fewer than HOT by their definition, are broadcast,
+    so a key with a third of all rows never meets in one task; rows of hot keys
+    pass the join by hash under a key made of `spread`.
+    """
+    kind = {k: t for k, t in groups.dtypes}
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT > total)
+    own = [c for c in groups.columns if c != key]
+    out = rows.join(F.broadcast(hot.select(F.col(key).alias("_h"), *[F.col(c).alias(f"_h_{c}") for c in own])), F.col(key) == F.col("_h"), "left")
+    out = out.withColumn("_k", F.when(F.col("_h").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("hot "), F.coalesce(F.col(spread).cast("string"), F.lit("")))))
+    rest = groups.where(F.col(size) * HOT <= total).select(F.col(key).cast("string").alias("_k"), *[F.col(c).alias(f"_r_{c}") for c in own])
+    return out.join(rest, "_k", "left").select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_r_{c}").cast(kind[c]).alias(c) for c in own])
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Removes tables of written() that nothing reads any more; their shuffles went when they were written."""
     jvm = spark.sparkContext._jvm
