@@ -1,7 +1,7 @@
 """Quality rules: counted base rules, and a calibrated n-gram classifier scored in Arrow batches.
 
-The classifier is a logistic regression on hashed word 1- and 2-grams and byte
-3- and 4-grams, each family normalised by its number of n-grams, so the score
+The classifier is a logistic regression on hashed word 1- and 2-grams and
+character 3- and 4-grams, each family normalised by its number of n-grams, so the score
 doesn't depend on length. It is fitted on the driver on a bounded sample of
 labelled rows (SAMPLE_PER_CLASS rows of each class), calibrated by Platt's
 method on a fifth of the sample that the fit doesn't see, and shipped to the
@@ -20,7 +20,7 @@ from .kernels import SPACE, Words, blocks, byte_sums, lines, mix, running, span_
 from .learning import fit_sparse, labelled_sample, platt, sigmoid
 from .storage import table
 
-#: Buckets of the hashed n-grams, by family: words 1, words 2, bytes 3, bytes 4.
+#: Buckets of the hashed n-grams, by family: words 1, words 2, characters 3, characters 4.
 BITS = 16
 DIMS = 4 << BITS
 #: Labelled rows of each class that the fit may use.
@@ -41,24 +41,16 @@ def _grams(w: Words):
     two = w.windows(2)
     h2 = span_hash(running(h), two, two + 2) if len(two) else np.zeros(0, _U)
     yield (h2 >> top).astype(np.int64) + (1 << BITS), np.searchsorted(w.row[two], bounds)
-    d = w.data.astype(np.uint32)
-    for k, at in ((3, 2), (4, 3)):
-        n = max(0, len(d) - k + 1)
-        code = np.zeros(n, np.uint32)
-        for i in range(k):
-            code = (code << np.uint32(8)) | d[i : i + n]
-        code = (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        ends = np.maximum(w.offsets[1:] - k + 1, w.offsets[:-1])  # n-grams that lie within the row
-        keep = np.ones(n, bool)
-        for i in range(1, k):
-            at_edge = w.offsets[1:-1] - i
-            keep[at_edge[(at_edge >= 0) & (at_edge < n)]] = False
-        yield code[keep].astype(np.int64) + (at << BITS), np.concatenate([[0], np.cumsum(_inside(keep, w.offsets, ends))])
-
-
-def _inside(keep: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(keep)])
-    return total[np.minimum(ends.clip(0), len(keep))] - total[np.minimum(offsets[:-1], len(keep))]
+    at = np.flatnonzero((w.data & 0xC0) != 0x80)  # where each character begins
+    chars = np.searchsorted(at, w.offsets)
+    at, sums = np.append(at, len(w.data)), byte_sums(w.data)
+    for k, family in ((3, 2), (4, 3)):
+        keep = np.ones(max(0, len(at) - k), bool)
+        for i in range(1, k):  # n-grams that reach into the next row
+            edge = chars[1:-1] - i
+            keep[edge[(edge >= 0) & (edge < len(keep))]] = False
+        i = np.flatnonzero(keep)
+        yield (span_hash(sums, at[i], at[i + k]) >> top).astype(np.int64) + (family << BITS), np.searchsorted(i, chars)
 
 
 def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -277,3 +277,41 @@ def test_shortest_path_equals_all_paths():
 
     for text in ("▁ab", "▁abba", "ababab▁a", "▁▁bab"):
         assert abs(sum(-scores[i] for i in fst.shortest(text)) - least(text)) < 1e-9
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+g AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM i),
+r AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest([g.i, g.i + 1, g.i + 2]) AS p FROM g JOIN r ON r.doc_id = g.doc_id AND r.g = g.g) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+       coalesce((SELECT sum(n - 1) FROM u WHERE u.doc_id = d.doc_id), 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN c USING (doc_id)"""
+
+
+def test_base_counts_of_the_query_equal_sql(spark):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = quality.op4_quality_rules(spark, "/root/testdata/sf0.001")
+    got = sorted(tuple(r) for r in out.select(*names).collect())
+    assert got == sorted(duck.execute(f"SELECT {', '.join(names)} FROM ({BASE_SQL})").fetchall())
+    assert not out.where("base_failed AND kept").count()
+
+
+def test_character_ngrams_are_of_characters():
+    import numpy as np
+    import pyarrow as pa
+
+    from chalkline.llm.kernels import Words, blocks
+
+    texts = ["añb", "", "日本語テスト", "ab", "éééé x"]
+    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
+        families = list(quality._grams(Words(data, offsets)))
+    for k, (bucket, first) in ((3, families[2]), (4, families[3])):
+        assert list(np.diff(first)) == [max(0, len(t) - k + 1) for t in texts] and len(bucket) == first[-1]
