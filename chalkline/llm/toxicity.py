@@ -1,34 +1,34 @@
-"""Toxicity by a gap-weighted subsequence kernel, Nyström landmarks and a linear SVM.
-
-The kernel compares words: two words are alike when they share subsequences of
-three symbols, each weighted by DECAY to the power of the span it takes in
-either word, so inserted characters and gaps cost a little instead of breaking
-the match. Spans are at most SPAN symbols; longer ones weigh next to nothing.
-The kernel is normalised, raised to POWER (a product of kernels is a kernel,
-and it mutes chance likeness; values that start below FLOOR count as 0, so
-most words are ruled out by a bound), and summed over the different words of a sentence,
-which makes it a convolution kernel of sentences. Symbols are bytes of lower-case
-letters, after a mark for the beginning of the word; other characters inside a word are dropped ("id*iot"), and runs of
-single letters ("i d i o t") are read as one word.
-
-Landmarks are words and parts of words of the training texts: those found most
-unevenly in texts of the two labels; a long word is
-normalised like a window of the landmark's size, so a stem is found in any
-compound. Landmarks alone enter the Nyström map;
-since the SVM is linear in it, each word has a weight of its own, found once
-for each different word of a block. A sentence's score is the sum of its words'
-weights and the bias, a text's score that of its most toxic sentence,
-calibrated to a probability. Labels belong to texts, so the SVM is fitted as
-multiple-instance learning: in each round every toxic text contributes its
-highest-scoring sentence as the positive one, and all others contribute their
-sentences as negatives: those like no landmark as one weighted row, and
-NEGATIVES of the others, half of them evenly spaced and half those that score
-highest so far.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM.
+
+The kernel compares words: K(s, t) sums over all subsequences of ORDER symbols
+that s and t share, each weighted by DECAY to the power of the span that it takes
+in either word, divided by the roots of K(s, s) and K(t, t). So inserted
+characters and gaps cost a little instead of breaking the match. It is computed
+exactly, as the product of the words' explicit features; no value is cut off.
+Symbols are letters in lower case, with a mark at either end of the word; other
+characters inside a word are dropped ("id*iot"), and runs of single letters
+("i d i o t") are read as one word. A word of more than LONGEST letters is taken
+in overlapping windows, of which the likeliest counts.
+
+Landmarks of the Nyström map are chosen among the words of toxic texts that
+harmless texts lack, by pivoted Cholesky: each time the word that the landmarks
+so far explain least, weighed by the number of texts that hold it. Since the SVM
+is linear in the map, a word has one weight, found once for each different word
+of a block, and a text's score is that of its most toxic word, calibrated to a
+probability.
+
+Labels belong to texts, so the SVM is fitted as multiple-instance learning: each
+toxic text gives the landmarks that it holds, or else its most toxic word, as
+positive examples, and words of harmless texts are negative ones. Each positive word is also shown with one to three
+letters, and with a letter after every letter, inserted at random places, so that
+the SVM learns what small kernel values of disguised words are worth.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,45 +38,42 @@ from .kernels import SPACE, Words, blocks, mix, running, span_hash, _BYTES
 from .learning import labelled_sample, platt, sigmoid
 from .storage import table
 
-DECAY, SPAN, POWER, FLOOR = 0.85, 6, 4, 0.55
-LANDMARKS = 120
-#: Sizes of the parts of words that may be landmarks, in bytes; a word is compared with one like a window of its size and SLACK more.
-PARTS, SLACK = (5, 6, 7), 2
-#: Share of the toxic sentences in the SVM's loss.
-TOXIC_WEIGHT = 0.08
-#: Landmarks must be this many standard deviations commoner in toxic texts.
-LEAST_Z = 6.0
-#: And in harmless texts at most this share as common as in toxic ones.
-MOST_HARMLESS = 0.1
+ORDER, DECAY = 5, 0.95
+#: Letters of a word, or of a window of a longer one; such windows begin STEP letters apart.
+LONGEST, STEP = 14, 7
+#: Landmarks, and the least share of a word that the landmarks so far don't explain.
+LANDMARKS, LEAST_RESIDUAL = 120, 0.05
+#: Words that are so uneven by chance, among all the words tried, that may be expected among the candidates for landmarks; and how often one may stand in harmless texts, as a share of its rate in toxic ones.
+MOST_BY_CHANCE, MOST_HARMLESS = 0.5, 0.1
+#: A toxic text whose words are all less like a landmark than this says nothing about words.
+LEAST_LIKE = 0.5
+#: Weight in the SVM's loss of the toxic texts, beside that of the harmless ones, each text counting alike; among toxic words the share of disguised ones; and disguised copies of a word and kind.
+TOXIC_WEIGHT, DISGUISED, COPIES = 0.08, 0.3, 6
 #: Word weights that a Python worker remembers.
 REMEMBERED = 1 << 20
-#: Labelled rows of each class that the fit may use, and sentences of texts that aren't toxic.
+#: Labelled rows of each class that the fit may use, and words of harmless texts.
 SAMPLE_PER_CLASS, NEGATIVES = 2500, 12_000
 
-#: Symbols: 26 letters, then bytes of other characters by their low 5 bits, split by kind.
-_SYMBOL = np.full(256, -1, np.int64)
+#: Symbols: 26 letters, 4 kinds of other bytes, and the marks.
+_SYMBOL = np.full(256, -1, np.int32)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(26)
 _SYMBOL[ord("A") : ord("Z") + 1] = np.arange(26)
-_SYMBOL[0x80:0xC0] = 26 + np.arange(64) % 32
-_SYMBOL[0xC0:] = 58 + np.arange(64) % 5
-_SYMBOL[ord("^")] = 63  # begins each unit
-_SYMBOLS = 64
-_ENDS = np.zeros(256, bool)
-_ENDS[[ord(c) for c in ".!?\n"]] = True
+_SYMBOL[0x80:0xC0] = 26 + np.arange(64) % 3
+_SYMBOL[0xC0:] = 29
+_SYMBOL[ord("^")], _SYMBOL[ord("$")] = 30, 31
+_BITS = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_PAIRS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
 @dataclass
 class Units:
-    """The units (cleaned words) of a block: bytes, spans, row and sentence of each."""
+    """The units (cleaned words) of a block: bytes, spans with the marks, and row of each."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
-    sentence: np.ndarray
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> Units:
@@ -84,130 +81,162 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
     accent = np.zeros(len(data), bool)  # upper-case letters of Latin-1 in UTF-8
     accent[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     lower[accent] += 32
-    keep = (_SYMBOL[data] >= 0) & (data != ord("^")) | SPACE[data]
-    ends = np.concatenate([[0], np.cumsum(_ENDS[data])])
+    keep = (_SYMBOL[data] >= 0) & (data != ord("^")) & (data != ord("$")) | SPACE[data]
     new = np.concatenate([[0], np.cumsum(keep)])
-    packed, at = lower[keep], np.flatnonzero(keep)
+    packed = lower[keep]
     w = Words(packed, new[offsets])
-    sentence = ends[at[w.start]] if len(w.start) else np.zeros(0, np.int64)
     # runs of single letters become one unit: drop the spaces between them
     single = (w.end - w.start) == 1
     joined = np.zeros(len(single), bool)
     if len(single) > 1:
-        joined[1:] = single[1:] & single[:-1] & (w.row[1:] == w.row[:-1]) & (sentence[1:] == sentence[:-1])
+        joined[1:] = single[1:] & single[:-1] & (w.row[1:] == w.row[:-1])
     if joined.any():
         stay = ~SPACE[packed]
         new = np.concatenate([[0], np.cumsum(stay)])
         head = ~joined
         stop = np.append(np.flatnonzero(head)[1:], len(single)) - 1
-        return _begun(packed[stay], new[w.start[head]], new[w.end[stop]], w.row[head], sentence[head])
-    return _begun(packed, w.start, w.end, w.row, sentence)
+        return _begun(packed[stay], new[w.start[head]], new[w.end[stop]], w.row[head])
+    return _begun(packed, w.start, w.end, w.row)
 
 
-def _begun(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, sentence: np.ndarray) -> Units:
-    """The units one after another, each after a "^"."""
-    n = end - start + 1
+def _begun(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> Units:
+    """The units one after another, each between "^" and "$"."""
+    n = end - start + 2
     stop = np.cumsum(n)
     index = np.repeat(start - 1 - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
-    out = data[np.maximum(index, 0)]
-    out[stop - n] = ord("^")
-    return Units(out, stop - n, stop, row, sentence)
-
-
-def _distinct(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of one unit of each distinct content, and the number of its content for each unit."""
-    h = span_hash(running(_BYTES[u.data]), u.start, u.end)
-    _, at, back = np.unique(h, return_index=True, return_inverse=True)
-    return u.start[at], u.end[at], back
-
-
-def _pack(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of the spans, one after another, and where each begins (spans + 1 entries)."""
-    n = end - start
-    first = np.concatenate([[0], np.cumsum(n)])
-    index = np.repeat(start - first[:-1], n) + np.arange(first[-1])
-    return _SYMBOL[data[index]], first
-
-
-def _features(symbols: np.ndarray, first: np.ndarray):
-    """Subsequences of three symbols: for each pair of offsets the words, the codes and the weight."""
-    word = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    left = first[1:][word] - np.arange(len(symbols))  # symbols from here to the word's end
-    for i, j in _PAIRS:
-        p = np.flatnonzero(left > j)
-        yield word[p], (symbols[p] * _SYMBOLS + symbols[p + i]) * _SYMBOLS + symbols[p + j], DECAY ** (j + 1)
-
-
-def _norms(length: np.ndarray) -> np.ndarray:
-    """Norm of the features of a word whose subsequences all differ; only the length matters."""
-    total = np.zeros(len(length))
-    for _, j in _PAIRS:
-        total += np.maximum(0, length - j) * DECAY ** (2 * (j + 1))
-    return np.sqrt(np.maximum(total, 1e-12))
+    out = data[np.clip(index, 0, max(0, len(data) - 1))] if len(data) else np.zeros(len(index), np.uint8)
+    out[stop - n], out[stop - 1] = ord("^"), ord("$")
+    return Units(out, stop - n, stop, row)
+
+
+def unit(word: bytes) -> bytes:
+    return b"^" + word + b"$"
+
+
+@lru_cache(maxsize=None)
+def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of a word of so many symbols, and their weights."""
+    at = np.array(list(combinations(range(length), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+
+
+def _windows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and unit of the windows: short units as they are, longer ones in pieces that overlap."""
+    n, top = end - start, LONGEST + 2
+    pieces = np.where(n <= top, 1, 1 + -(-(n - top) // STEP))
+    each = np.repeat(np.arange(len(n)), pieces)
+    k = np.arange(len(each)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.minimum(start[each] + k * STEP, np.maximum(start[each], end[each] - top))
+    return begin, np.minimum(begin + top, end[each]), each
+
+
+def _common(grid: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether each row of symbols shares a subsequence of ORDER symbols with any word of masks (bit i of masks[c, w]: symbol i of word w is c), by bit-parallel longest common subsequences."""
+    full = np.bitwise_or.reduce(masks, axis=0)
+    state = np.broadcast_to(full, (len(grid), masks.shape[1])).copy()
+    for k in range(grid.shape[1]):
+        m = masks[grid[:, k]]
+        x = state & m
+        state = (state + x) | (state - x)
+    return (np.bitwise_count(~state & full[None, :]) >= ORDER).any(axis=1)
+
+
+def _features(data: np.ndarray, start: np.ndarray, end: np.ndarray, masks: np.ndarray | None = None):
+    """(index, codes, weights) of the spans, some of one length at a time: a row for each span, a column for each subsequence. Those that share none with the words of masks are left out."""
+    symbols, size = _SYMBOL[data], end - start
+    for length in np.unique(size[size >= ORDER]):
+        at, weight = _places(int(length))
+        own = np.flatnonzero(size == length)
+        if masks is not None:
+            near = [_common(symbols[start[own[lo : lo + (1 << 14)]][:, None] + np.arange(length)[None, :]], masks) for lo in range(0, len(own), 1 << 14)]
+            own = own[np.concatenate(near)]
+        step = max(1, (1 << 20) // len(at))
+        for lo in range(0, len(own), step):
+            index = own[lo : lo + step]
+            grid = symbols[start[index][:, None] + np.arange(length)[None, :]]
+            code = np.zeros((len(index), len(at)), np.int32)
+            for k in range(ORDER):
+                code = (code << _BITS) | grid[:, at[:, k]]
+            yield index, code, weight
+
+
+def _summed(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and weight of the different subsequences of each row, and with them the norm of each row."""
+    order = np.argsort(code, axis=1)
+    ranked, w = np.take_along_axis(code, order, 1), weight[order]
+    new = np.ones(ranked.shape, bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    flat = np.flatnonzero(new)
+    total = np.add.reduceat(w.ravel(), flat)
+    row = flat // code.shape[1]
+    norm = np.sqrt(np.bincount(row, total.astype(np.float64) ** 2, len(code)))
+    return row, ranked.ravel()[flat], (total / norm[row]).astype(np.float32)
 
 
 class Landmarks:
     def __init__(self, words: list[bytes]):
         self.words = words
         data = np.frombuffer(b"".join(words), np.uint8)
-        first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        symbols, first = _pack(data, first[:-1], first[1:])
-        found = [(w, c, np.full(len(w), x)) for w, c, x in _features(symbols, first)]
-        w, c, x = (np.concatenate([f[k] for f in found]) for k in range(3))
-        codes, at = np.unique(c, return_inverse=True)
-        self.slot = np.full(_SYMBOLS**3, -1, np.int32)
-        self.slot[codes] = np.arange(len(codes))
-        self.rows = np.zeros((len(codes), len(words)), np.float32)
-        np.add.at(self.rows, (at, w), x)
-        self.rows /= np.maximum(_norms(np.diff(first)), 1e-9)[None, :].astype(np.float32)
-        self.most = np.append(self.rows.max(axis=1), np.float32(0))  # the last is for subsequences of no landmark
-        self.sizes = np.diff(first)
-
-    def likeness(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words that are like any landmark, and for each of them the kernel with every landmark, to the power POWER."""
-        length = np.diff(first)
-        norms = _norms(np.minimum(length, self.sizes.min() + SLACK))
-        bound = np.zeros(len(first) - 1)
-        found = []
-        for w, c, x in _features(symbols, first):
-            s = self.slot[c]
-            hit = np.flatnonzero(s >= 0)
-            w, s = w[hit], s[hit]
-            bound += np.bincount(w, self.most[s], len(bound)) * x
-            found.append((w, s, x))
-        near = bound >= FLOOR * norms
-        words, slots, weights = [], [], []
-        for w, s, x in found:
-            hit = near[w]
-            words.append(w[hit])
-            slots.append(s[hit])
-            weights.append(np.full(len(words[-1]), x, np.float32))
-        word, slot, weight = np.concatenate(words), np.concatenate(slots), np.concatenate(weights)
-        if not len(word):
-            return np.zeros(0, np.int64), np.zeros((0, self.rows.shape[1]), np.float32)
-        order = np.argsort(word, kind="stable")
-        word, slot, weight = word[order], slot[order], weight[order]
-        begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out = np.empty((len(begin), self.rows.shape[1]), np.float32)
-        step = 1 << 12  # words at once, to bound memory
-        for lo in range(0, len(begin), step):
-            b = begin[lo : lo + step]
-            stop = begin[lo + step] if lo + step < len(begin) else len(word)
-            out[lo : lo + step] = np.add.reduceat(self.rows[slot[b[0] : stop]] * weight[b[0] : stop, None], b - b[0], axis=0)
-        out /= _norms(np.minimum(length[word[begin]][:, None], self.sizes[None, :] + SLACK).ravel()).reshape(out.shape).astype(np.float32)
-        out[out < FLOOR] = 0
-        some = out.any(axis=1)
-        return word[begin][some], np.minimum(out[some], 1) ** POWER
+        end = np.cumsum([len(w) for w in words])
+        start = end - np.array([len(w) for w in words])
+        found = [(index[r], c, x) for index, code, weight in _features(data, start, end) for r, c, x in [_summed(code, weight)]]
+        word, code, value = (np.concatenate([f[k] for f in found]) for k in range(3))
+        self.codes, at = np.unique(code, return_inverse=True)
+        self.rows = np.zeros((len(self.codes), len(words)), np.float32)
+        self.rows[at, word] = value
+        self.masks = np.zeros((1 << _BITS, len(words)), np.uint32)
+        for i, w in enumerate(words):
+            for k, c in enumerate(w[: LONGEST + 2]):
+                self.masks[_SYMBOL[c], i] |= np.uint32(1 << k)
+
+    def likeness(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units that share a subsequence with any landmark, and for each of them the kernel with every landmark."""
+        begin, stop, owner = _windows(start, end)
+        units_, kernels = [], []
+        for index, code, weight in _features(data, begin, stop, self.masks):
+            row, c, x = _summed(code, weight)
+            place = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
+            hit = np.flatnonzero(self.codes[place] == c)
+            row, place, x = row[hit], place[hit], x[hit]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            for lo in range(0, len(first), 1 << 12):  # rows at once, to bound memory
+                f = first[lo : lo + (1 << 12)]
+                e = first[lo + (1 << 12)] if lo + (1 << 12) < len(first) else len(row)
+                kernels.append(np.add.reduceat(self.rows[place[f[0] : e]] * x[f[0] : e, None], f - f[0], axis=0))
+                units_.append(owner[index[row[f]]])
+        if not units_:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
+        u, k = np.concatenate(units_), np.concatenate(kernels)
+        order = np.argsort(u, kind="stable")
+        u, k = u[order], k[order]
+        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        return u[first], np.maximum.reduceat(k, first, axis=0)
 
 
 @dataclass
 class ToxicityModel:
-    landmarks: Landmarks | None
+    words: list[bytes]
     alpha: np.ndarray
     bias: float
     a: float
     b: float
 
+    def __getstate__(self):
+        return {k: getattr(self, k) for k in ("words", "alpha", "bias", "a", "b")}
+
+    @property
+    def landmarks(self) -> Landmarks:
+        if "_landmarks" not in self.__dict__:
+            self._landmarks = Landmarks(self.words)
+        return self._landmarks
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The weights of units."""
+        out = np.full(len(start), self.bias)
+        word, k = self.landmarks.likeness(data, start, end)
+        out[word] += k @ self.alpha
+        return out
+
     def weights(self, u: Units) -> np.ndarray:
         """The weight of each unit. Those of other blocks are remembered, up to REMEMBERED of them."""
         h = span_hash(running(_BYTES[u.data]), u.start, u.end)
@@ -216,10 +245,7 @@ class ToxicityModel:
         place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         weight, new = value[place], np.flatnonzero(known[place] != keys)
         if len(new):
-            symbols, first = _pack(u.data, u.start[at[new]], u.end[at[new]])
-            fresh = np.zeros(len(new))
-            word, k = self.landmarks.likeness(symbols, first)
-            fresh[word] = k @ self.alpha
+            fresh = self.of(u.data, u.start[at[new]], u.end[at[new]])
             weight[new] = fresh
             if len(known) + len(new) > REMEMBERED:
                 self.memory = keys, weight
@@ -229,221 +255,198 @@ class ToxicityModel:
         return weight[back]
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each row the score of its most toxic sentence; a row without words has the bias."""
-        out = np.full(len(offsets) - 1, -np.inf)
+        """For each row the weight of its most toxic unit; a row without words has the bias."""
+        out = np.full(len(offsets) - 1, self.bias)
         u = units(data, offsets)
         if len(u.start):
-            new = np.concatenate([[True], (u.row[1:] != u.row[:-1]) | (u.sentence[1:] != u.sentence[:-1])])
-            number, weight = np.cumsum(new) - 1, self.weights(u)
-            hit = np.flatnonzero(weight)
-            same = span_hash(running(_BYTES[u.data]), u.start[hit], u.end[hit]) ^ mix(number[hit].astype(np.uint64))
-            hit = hit[np.unique(same, return_index=True)[1]]
-            np.maximum.at(out, u.row[new], np.bincount(number[hit], weight[hit], number[-1] + 1))
-        return np.where(np.isfinite(out), out, 0.0) + self.bias
+            np.maximum.at(out, u.row, self.weights(u))
+        return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        if self.landmarks is None:
+        if not self.words:
             return np.zeros(len(offsets) - 1)
         return sigmoid(self.a * _flattened(self.raw(data, offsets)) + self.b)
 
 
 def _flattened(z: np.ndarray) -> np.ndarray:
-    """Scores beyond the margin, ten times closer to it; else single texts of many near words would set the slope of the calibration."""
+    """Scores beyond the margin, ten times closer to it, so that a few extreme texts don't set the slope of the calibration."""
     inner = np.clip(z, -1, 1)
     return inner + 0.1 * (z - inner)
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The units of a block, and of all their parts of PARTS bytes and themselves: start, end, row and hash."""
-    u = units(data, offsets)
-    n = u.end - u.start
-    starts, sizes, rows = [u.start[n >= PARTS[0]]], [n[n >= PARTS[0]]], [u.row[n >= PARTS[0]]]
-    for k in PARTS:
-        m = np.maximum(0, n - k + 1) * (n > k)
-        which = np.repeat(np.arange(len(n)), m)
-        starts.append(u.start[which] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m))
-        sizes.append(np.full(len(which), k))
-        rows.append(u.row[which])
-    start, size, row = map(np.concatenate, (starts, sizes, rows))
-    return u, start, start + size, row, span_hash(running(_BYTES[u.data]), start, start + size)
-
-
-def _found(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of parts and the number of texts that hold each; only those among the given ones, if any are given."""
-    total, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
-        _, _, _, row, h = _parts(data, offsets)
-        if among is not None:
-            at = np.minimum(np.searchsorted(among, h), len(among) - 1)
-            row, h = row[among[at] == h], h[among[at] == h]
-        _, first = np.unique(h ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
-        part, n = np.unique(h[first], return_counts=True)
-        total, back = np.unique(np.concatenate([total, part]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, n]), len(total)).astype(np.int64)
-    return total, counts
-
-
-def _contexts(texts: list[str], wanted: np.ndarray) -> np.ndarray:
-    """For each of the parts wanted (sorted) the number of different contexts, a word before and one after, that it has; copies of a text add none."""
-    seen = np.zeros((0, 2), np.uint64)
+def _vocabulary(texts: list[str], contexts: bool = False) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """The units of texts: the number of texts that hold each, and if asked for of different contexts (the words around it), since copies of a text add none."""
+    count: dict[bytes, int] = {}
+    seen: dict[bytes, set] = {}
     for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
-        u, start, _, _, h = _parts(data, offsets)
-        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        hit = np.flatnonzero(wanted[at] == h)
-        unit = np.searchsorted(u.start, start[hit], "right") - 1
-        whole = span_hash(running(_BYTES[u.data]), u.start, u.end)
-        near = mix(np.append(whole, np.uint64(0))[unit - 1]) ^ np.append(whole, np.uint64(0))[unit + 1]
-        seen = np.unique(np.concatenate([seen, np.stack([at[hit].astype(np.uint64), near], axis=1)]), axis=0)
-    return np.bincount(seen[:, 0].astype(np.int64), minlength=len(wanted))
-
-
-def _overlap(a: bytes, b: bytes) -> bool:
-    """Whether they share a stretch of four bytes, or nearly all of the shorter one."""
-    k = min(4, len(a) - 1, len(b) - 1)
-    return any(a[i : i + k] in b for i in range(len(a) - k + 1))
-
-
-def _choose(texts: list[str], y: np.ndarray) -> list[bytes]:
-    """Landmarks: the words and parts of words found most unevenly in texts of the two labels, none much like another."""
-    toxic, harmless = [t for t, x in zip(texts, y) if x == 1], [t for t, x in zip(texts, y) if x == 0]
-    part, found1 = _found(toxic)
-    part, found1 = part[found1 >= 3], found1[found1 >= 3]
-    if not len(part):
-        return []
-    known, n = _found(harmless, part)
-    found0 = np.zeros(len(part), np.int64)
-    found0[np.searchsorted(part, known)] = n
-    n0, n1 = max(1, len(harmless)), max(1, len(toxic))
-
-    def uneven(c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        c0, c1 = np.minimum(c0, n0), np.minimum(c1, n1)
-        p = (c0 + c1) / (n0 + n1)
-        return (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(1e-12, p * (1 - p)) * (1 / n0 + 1 / n1))
-
-    z = uneven(found0, found1)
-    marked = np.lexsort((part, -z))[: 40 * LANDMARKS]
-    marked = np.sort(marked[z[marked] >= LEAST_Z])
-    if not len(marked):
-        return []
-    z[marked] = uneven(_contexts(harmless, part[marked]), np.minimum(found1[marked], _contexts(toxic, part[marked])))
-    marked = marked[(z[marked] >= LEAST_Z) & (found0[marked] * n1 <= MOST_HARMLESS * found1[marked] * n0)]
-    if not len(marked):
+        u = units(data, offsets)
+        if not len(u.start):
+            continue
+        h = span_hash(running(_BYTES[u.data]), u.start, u.end)
+        first = np.unique(h ^ mix(u.row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+        _, at, back, n = np.unique(h[first], return_index=True, return_inverse=True, return_counts=True)
+        whole = u.data.tobytes()
+        names = [whole[a:b] for a, b in zip(u.start[first[at]].tolist(), u.end[first[at]].tolist())]
+        for w, k in zip(names, n.tolist()):
+            count[w] = count.get(w, 0) + k
+        if contexts:
+            near = mix(np.append(h[1:], np.uint64(0))) ^ np.concatenate([np.zeros(1, np.uint64), h[:-1]])
+            for w, x in zip(back.tolist(), near[first].tolist()):
+                seen.setdefault(names[w], set()).add(x)
+    return count, {w: len(x) for w, x in seen.items()}
+
+
+def _by_chance(toxic: int, harmless: int, share: float) -> float:
+    """The probability that a word without regard to the labels stands in so many or more toxic texts, of those that hold it."""
+    n = toxic + harmless
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    k = np.arange(toxic, n + 1)
+    return float(np.exp(log[n] - log[k] - log[n - k] + k * np.log(share) + (n - k) * np.log1p(-share)).sum())
+
+
+def _kernel(words: list[bytes], marks: Landmarks) -> np.ndarray:
+    out = np.zeros((len(words), len(marks.words)), np.float32)
+    for lo in range(0, len(words), 10_000):  # to bound memory
+        part = words[lo : lo + 10_000]
+        data = np.frombuffer(b"".join(part), np.uint8)
+        end = np.cumsum([len(w) for w in part])
+        at, k = marks.likeness(data, end - np.array([len(w) for w in part]), end)
+        out[lo + at] = k
+    return out
+
+
+def _choose(toxic: list[str], harmless: list[str], harmless_count: dict[bytes, int]) -> list[bytes]:
+    """Landmarks by pivoted Cholesky among the words that toxic texts hold and harmless ones lack."""
+    count, contexts = _vocabulary(toxic, contexts=True)
+    rate, share = MOST_HARMLESS * len(harmless) / len(toxic), len(toxic) / (len(toxic) + len(harmless))
+    most = MOST_BY_CHANCE / len(count.keys() | harmless_count.keys())
+    pool = [w for w, n in count.items() if ORDER <= len(w) <= LONGEST + 2 and harmless_count.get(w, 0) <= rate * n]
+    pool = [w for w in pool if _by_chance(min(count[w], contexts[w]), harmless_count.get(w, 0), share) <= most]
+    pool = sorted(pool, key=lambda w: (-count[w], w))[: 20 * LANDMARKS]
+    if not pool:
         return []
-    wanted, names = part[marked], {}
-    for _, _, data, offsets in blocks(pa.array(toxic, pa.large_string())):
-        u, start, end, _, h = _parts(data, offsets)
-        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        for i in np.flatnonzero(wanted[at] == h):
-            names.setdefault(int(h[i]), u.data[start[i] : end[i]].tobytes())
-    out: list[bytes] = []
-    ranked = sorted(marked, key=lambda i: (-round(z[i], 1), -len(names[int(part[i])]), names[int(part[i])]))
-    for i in ranked:
-        name = names[int(part[i])]
-        if len(out) < LANDMARKS and not any(_overlap(name, x) for x in out):
-            out.append(name)
+    weight = np.array([count[w] for w in pool], float)
+    left, rows, out = np.ones(len(pool)), [], []
+    while len(out) < LANDMARKS and (left > LEAST_RESIDUAL).any():
+        i = int(np.argmax(np.where(left > LEAST_RESIDUAL, weight * left, -1)))
+        column = _kernel(pool, Landmarks([pool[i]]))[:, 0].astype(float)
+        for r in rows:
+            column -= r * r[i]
+        column /= np.sqrt(left[i])
+        rows.append(column)
+        left = np.maximum(0, left - column**2)
+        left[i] = 0
+        out.append(pool[i])
     return out
 
 
-def _confirmed(words: list[bytes], texts: list[str], y: np.ndarray) -> list[bytes]:
-    """The landmarks that texts not used for choosing them don't contradict: those among them that are rare there in harmless texts too."""
-    if not words or not len(texts):
-        return words
-    data = np.frombuffer(b"".join(words), np.uint8)
-    end = np.cumsum([len(w) for w in words])
-    h = span_hash(running(_BYTES[data]), end - np.array([len(w) for w in words]), end)
-    known, rate = np.sort(h), []
-    for side in (0, 1):
-        own = [t for t, x in zip(texts, y) if x == side]
-        part, n = _found(own, known)
-        count = np.zeros(len(known))
-        count[np.searchsorted(known, part)] = n
-        rate.append(count / max(1, len(own)))
-    good = rate[0] <= MOST_HARMLESS * rate[1]
-    return [w for w, x in zip(words, h) if good[np.searchsorted(known, x)]]
-
-
-def _sentences(texts: list[str], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel rows of the sentences that are like any landmark, the text of each, and the number of other sentences of each text."""
-    rows, owner, others = [], [], np.zeros(len(texts), np.int64)
-    for lo, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
-        u = units(data, offsets)
-        if not len(u.start):
-            continue
-        start, end, back = _distinct(u)
-        word, k = marks.likeness(*_pack(u.data, start, end))
-        slot = np.full(len(start), -1)
-        slot[word] = np.arange(len(word))
-        new = np.concatenate([[True], (u.row[1:] != u.row[:-1]) | (u.sentence[1:] != u.sentence[:-1])])
-        number, text = np.cumsum(new) - 1, lo + u.row[new]
-        hit = np.flatnonzero(slot[back] >= 0)
-        hit = np.sort(hit[np.unique(number[hit] * len(start) + back[hit], return_index=True)[1]])
-        which, at = np.unique(number[hit], return_index=True)
-        if len(which):
-            rows.append(np.add.reduceat(k[slot[back[hit]]], at, axis=0))
-            owner.append(text[which])
-        others += np.bincount(text, minlength=len(texts)) - np.bincount(text[which], minlength=len(texts))
-    if not rows:
-        return np.zeros((0, len(marks.words))), np.zeros(0, np.int64), others
-    return np.concatenate(rows), np.concatenate(owner), others
-
-
-def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 500, c: float = 3000.0) -> np.ndarray:
-    """Linear SVM with squared hinge loss by accelerated gradient steps; the toxic rows together weigh TOXIC_WEIGHT. Row i counts times[i] times. The last weight is the bias."""
-    t = np.where(y == 1, 1.0, -1.0).astype(np.float32)
-    weight = c * times * np.where(y == 1, TOXIC_WEIGHT / max(1, times[y == 1].sum()), (1 - TOXIC_WEIGHT) / max(1, times[y == 0].sum()))
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
-    weight = weight.astype(np.float32)
-    bound = np.float32(2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + 1)
-    w = v = np.zeros(x.shape[1], np.float32)
-    penal = np.append(np.ones(len(v) - 1), 0).astype(np.float32)
-    for k in range(steps):
-        slack = np.maximum(0, 1 - t * (x @ v))
-        new = v - (v * penal - 2 * ((weight * t * slack) @ x)) / bound
-        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
-    return w.astype(np.float64)
+def disguised(word: bytes, copies: int = COPIES) -> list[bytes]:
+    """The word with one, two and three letters inserted at random places, and with one after every letter but the last."""
+    rng = np.random.default_rng(int.from_bytes(word, "big") % (1 << 63))
+    letters, out = word[1:-1], []
+    if len(letters) < 3:
+        return out
+    for k in (1, 2, 3, len(letters) - 1):
+        for _ in range(copies):
+            places = np.sort(rng.choice(len(letters) - 1, min(k, len(letters) - 1), replace=False)) + 1
+            parts = np.split(np.frombuffer(letters, np.uint8), places)
+            out.append(unit(b"".join(p.tobytes() + (bytes([97 + int(rng.integers(26))]) if i + 1 < len(parts) else b"") for i, p in enumerate(parts))))
+    return out
+
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 40, c: float = 30_000.0) -> np.ndarray:
+    """Linear SVM with squared hinge loss by Newton's method on the rows within the margin. The last of the result is the bias."""
+    t = np.where(y == 1, 1.0, -1.0)
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    penal = np.diag(np.append(np.ones(x.shape[1] - 1), 1e-9))
+
+    def loss(w: np.ndarray) -> float:
+        return float(w @ penal @ w) / 2 + c * float(weight @ (np.maximum(0, 1 - t * (x @ w)) ** 2))
+
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        own = t * (x @ w) < 1
+        part = x[own] * (2 * c * weight[own])[:, None]
+        step, best = np.linalg.solve(part.T @ x[own] + penal, part.T @ t[own]) - w, loss(w)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > best:
+            size /= 2
+        if size <= 1e-4 or np.abs(size * step).max() < 1e-8:
+            break
+        w = w + size * step
+    return w
 
 
 def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds: int = 3) -> ToxicityModel:
     """prior: share of toxic rows among all labels, for which the scores are calibrated. Without labels of both classes, a model that finds every text harmless."""
+    none = ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0)
     y = np.array([x[2] for x in sample], int)
     if len(set(y)) < 2:
-        return ToxicityModel(None, np.zeros(0), 0.0, 1.0, 0.0)
+        return none
     texts = [x[1] for x in sample]
     tune = np.arange(len(y)) % 5 == 4  # for the calibration only
     if min(len(set(y[tune])), len(set(y[~tune]))) < 2:
         tune = np.zeros(len(y), bool)
-    learn = np.flatnonzero(~tune)
-    words = _choose([texts[i] for i in learn], y[learn])
-    words = _confirmed(words, [texts[i] for i in np.flatnonzero(tune)], y[tune])
+    toxic, harmless = ([texts[i] for i in np.flatnonzero(~tune & (y == k))] for k in (1, 0))
+    known, _ = _vocabulary(harmless)
+    words = _choose(toxic, harmless, known)
     if not words:
-        return ToxicityModel(None, np.zeros(0), 0.0, 1.0, 0.0)
+        return none
     marks = Landmarks(words)
-    symbols, first = _pack(np.frombuffer(b"".join(words), np.uint8), *(np.concatenate([[0], np.cumsum([len(w) for w in words])])[k:][: len(words)] for k in (0, 1)))
-    gram = np.zeros((len(words), len(words)))
-    word, k = marks.likeness(symbols, first)
-    gram[word] = k
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    root = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
-    k, owner, others = _sentences([texts[i] for i in learn], marks)
-    x, label = k @ root.astype(np.float32), y[learn][owner]
-    negative, positive = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
-    even = negative[:: max(1, -(-len(negative) // (NEGATIVES // 2)))]
-    lead = k.max(axis=1, initial=0)  # the first round's witness: the sentence with the likeliest landmark
-    plain = int(others[y[learn] == 0].sum())  # harmless sentences like no landmark: rows of zeros
-    w = None
+    value, vector = np.linalg.eigh(_kernel(words, marks).astype(float))
+    root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+    # negatives: the words of harmless texts that are likest to a landmark, and others by chance
+    order = sorted(known)
+    most = np.concatenate([_kernel(order[lo : lo + 10_000], marks).max(axis=1) for lo in range(0, len(order), 10_000)]) if order else np.zeros(0)
+    hard = np.argsort(-most, kind="stable")[: NEGATIVES // 2]
+    some = np.argsort(mix(np.arange(len(order), dtype=np.uint64)), kind="stable")[: NEGATIVES // 2]
+    use = np.union1d(hard, some)
+    negative, times = _kernel([order[i] for i in use], marks) @ root, np.array([known[order[i]] for i in use]) / len(harmless)
+    bags, owned = [], []  # the units of each toxic text
+    for _, _, data, offsets in blocks(pa.array(toxic, pa.large_string())):
+        u, whole = units(data, offsets), None
+        whole = u.data.tobytes()
+        for r in range(len(offsets) - 1):
+            a, b = np.searchsorted(u.row, [r, r + 1])
+            bags.append(sorted({whole[i:j] for i, j in zip(u.start[a:b], u.end[a:b])}))
+    vocabulary = sorted({w for b in bags for w in b})
+    number, kernel = {w: i for i, w in enumerate(vocabulary)}, _kernel(vocabulary, marks)
+    alpha, bias, chosen = np.ones(len(words)), 0.0, set(words)  # the first witness of a text is its word most like all landmarks
+    score = kernel.max(axis=1)
     for _ in range(rounds):
-        score = lead if w is None else x @ w[:-1] + w[-1]
-        order = positive[np.lexsort((positive, -score[positive], owner[positive]))]
-        witness = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
-        hard = negative[np.lexsort((negative, -score[negative]))][: NEGATIVES // 2]  # those closest to toxic ones so far
-        use = np.concatenate([witness, np.union1d(even, hard)])
-        w = _svm(np.vstack([x[use], np.zeros((1, x.shape[1]))]), np.append(label[use], 0), np.append(np.ones(len(use)), max(1, min(plain, NEGATIVES))))
-    model = ToxicityModel(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
-    own = np.flatnonzero(tune) if tune.any() else learn
-    z = np.concatenate([model.raw(d, o) for _, _, d, o in blocks(pa.array([texts[i] for i in own], pa.large_string()))])
-    model.a, model.b = platt(_flattened(z), y[own])
+        witness: dict[int, int] = {}
+        for b in bags:
+            if b:  # the landmarks that the text holds, or else its most toxic word
+                best = max(b, key=lambda w: score[number[w]])
+                for i in {number[w] for w in b if w in chosen} or ({number[best]} if kernel[number[best]].max() >= LEAST_LIKE else ()):
+                    witness[i] = witness.get(i, 0) + 1
+        plain = np.array(sorted(witness))
+        extra = [(d, witness[i]) for i in plain if kernel[i].max() > 0.9 for d in disguised(vocabulary[i])]
+        x = np.vstack([kernel[plain] @ root, _kernel([d for d, _ in extra], marks) @ root, negative])
+        label = np.concatenate([np.ones(len(plain) + len(extra)), np.zeros(len(negative))])
+        share = DISGUISED if extra else 0.0
+        n, e = np.array([witness[i] for i in plain], float), np.array([c for _, c in extra], float)
+        weight = np.concatenate([TOXIC_WEIGHT * (1 - share) * n / n.sum(), TOXIC_WEIGHT * share * e / max(1e-9, e.sum()), (1 - TOXIC_WEIGHT) * times])
+        w = _svm(x, label, weight)
+        alpha, bias = root @ w[:-1], float(w[-1])
+        score = kernel @ alpha + bias
+    model = ToxicityModel(words, alpha, bias, 1.0, 0.0)
+    # calibration: the texts that the fit didn't see, and the toxic words of the toxic ones with a letter inserted
+    own = np.flatnonzero(tune) if tune.any() else np.arange(len(y))
+    z, hidden = [], []
+    for lo, _, data, offsets in blocks(pa.array([texts[i] for i in own], pa.large_string())):
+        z.append(model.raw(data, offsets))
+        u = units(data, offsets)
+        strong = np.flatnonzero(model.weights(u) > 0) if len(u.start) else np.zeros(0, np.int64)
+        strong = strong[y[own[lo + u.row[strong]]] == 1]
+        hidden += [d for i in np.unique(strong) for d in disguised(u.data[u.start[i] : u.end[i]].tobytes(), 1)[:1]]
+    z, label = np.concatenate(z), y[own]
+    if hidden:
+        data, end = np.frombuffer(b"".join(hidden), np.uint8), np.cumsum([len(w) for w in hidden])
+        z, label = np.append(z, model.of(data, end - np.array([len(w) for w in hidden]), end)), np.append(label, np.ones(len(hidden), int))
+    model.a, model.b = platt(_flattened(z), label)
     if prior is not None and 0 < prior < 1:
-        model.b += float(np.log(prior / (1 - prior)) - np.log(y[own].mean() / (1 - y[own].mean())))
+        model.b += float(np.log(prior / (1 - prior)) - np.log(label.mean() / (1 - label.mean())))
     return model
 
 

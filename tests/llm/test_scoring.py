@@ -315,3 +315,45 @@ def test_character_ngrams_are_of_characters():
         families = list(quality._grams(Words(data, offsets)))
     for k, (bucket, first) in ((3, families[2]), (4, families[3])):
         assert list(np.diff(first)) == [max(0, len(t) - k + 1) for t in texts] and len(bucket) == first[-1]
+
+
+def test_kernel_equals_all_subsequences():
+    from itertools import combinations
+
+    import numpy as np
+
+    def features(word):
+        out = {}
+        for at in combinations(range(len(word)), toxicity.ORDER):
+            key = bytes(word[i] for i in at)
+            out[key] = out.get(key, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    def kernel(s, t):
+        a, b = features(s), features(t)
+        dot = lambda x, y: sum(v * y.get(k, 0.0) for k, v in x.items())
+        return dot(a, b) / max(1e-12, dot(a, a) * dot(b, b)) ** 0.5
+
+    words = [toxicity.unit(w) for w in (b"idiot", b"ixdiot", b"idiots", b"toidi", b"banana", b"abc", b"loser", b"closers")]
+    got = toxicity._kernel(words, toxicity.Landmarks(words))
+    assert np.abs(got - np.array([[kernel(s, t) for t in words] for s in words])).max() < 1e-5
+    assert np.linalg.eigvalsh(got.astype(float)).min() > -1e-6  # a positive-definite kernel
+
+
+def test_disguised_insults_are_found(spark):
+    """Recall by the number of letters inserted into insults that were learnt plain."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.trained(docs, labels)
+    rng = random.Random(11)
+
+    def inserted(word, n):
+        s = list(word)
+        for at in sorted(rng.sample(range(1, len(word)), n), reverse=True):
+            s.insert(at, rng.choice("abcdefghijklmnopqrstuvwxyz"))
+        return "".join(s)
+
+    found = {}
+    for n in range(4):
+        texts = [f"You are a {inserted(rng.choice(['idiot', 'stupid', 'scum', 'trash', 'clown']), n)} and more" for _ in range(200)]
+        found[n] = sum(int(x >= 0.5) for _, _, d, o in blocks(pa.array(texts)) for x in model.score(d, o)) / 200
+    assert found[0] > 0.95 and found[1] > 0.75 and found[2] > 0.4, found
