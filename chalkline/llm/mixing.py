@@ -17,14 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .storage import table, written
 
-#: Sources with a cell of their own in the SQL, which agrees with the code up to so many.
-MAX_SOURCES = 200
 #: Languages without a target of their own.
 OTHER = "(other)"
 #: Passes over the three marginals.
 SWEEPS = 25
-#: Share of the tokens that the sample should hold.
-BUDGET = 0.8
+#: Share of the tokens that the sample should hold. Cells that are short of documents are taken whole, so a larger budget moves the mix away from the targets.
+BUDGET = 0.5
 SEED = "mix"
 #: A topic is the first whose markers a text contains.
 TOPICS = [("legal", ["icense", "opyright", "ights reserved"]), ("contact", ["@", "http"]), ("table", [" | "]), ("question", ["?"])]
@@ -32,7 +30,7 @@ DEFAULT_TOPIC = "prose"
 #: Target weights by language (others get OTHER_SHARE together), and the exponents that flatten the shares of sources and topics.
 LANGUAGES = {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.16}
 OTHER_SHARE = 0.02
-SOURCE_POWER, TOPIC_POWER = 0.5, 0.7
+SOURCE_POWER, TOPIC_POWER = 0.5, 0.85
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -147,8 +145,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {_topic_sql()} AS topic,
          CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
-own AS (SELECT source FROM d GROUP BY source HAVING sum(n_tokens) > 0 ORDER BY sum(n_tokens) DESC, source LIMIT {MAX_SOURCES}),
-e AS (SELECT d.*, coalesce(own.source, '{OTHER}') AS s, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in LANGUAGES)}) THEN lang ELSE '{OTHER}' END AS l FROM d LEFT JOIN own USING (source)),
+e AS (SELECT d.*, source AS s, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in LANGUAGES)}) THEN lang ELSE '{OTHER}' END AS l FROM d),
 cells AS (SELECT s, l, topic AS t, CAST(sum(n_tokens) AS DOUBLE) AS n FROM e GROUP BY ALL HAVING sum(n_tokens) > 0),
 ts AS (SELECT s, v / sum(v) OVER () AS v FROM (SELECT s, pow(sum(n), {SOURCE_POWER}) AS v FROM cells GROUP BY s)),
 tl AS (SELECT l, v / sum(v) OVER () AS v FROM (SELECT DISTINCT l, CASE l {' '.join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGES.items())} ELSE {OTHER_SHARE} END::DOUBLE AS v FROM cells)),
