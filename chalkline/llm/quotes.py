@@ -1,10 +1,12 @@
 """Quotation linking: conversations in reply order, without quotes.
 
-A line that begins with ">" is quoted; the number of ">" is its level. Quoted
-lines are normalised and hashed, and each is joined to the latest earlier
-message of its conversation that has the line as its own. A message replies to
-the message that most of its quotes of the lowest level come from, or else to
-the message before it. Everything is DataFrame expressions.
+A line that begins with ">" is quoted; the number of ">" is its level, up to
+LEVELS. Neighbouring lines of one level are a passage, which is normalised and
+hashed as a whole, and joined to the latest earlier message of its conversation
+that says it: as its whole text, a paragraph or a line of its own. The lines of
+a passage that no message says as a whole are looked up one by one. A message
+replies to the message that most words of its quotes of the lowest level come
+from, or else to the message before it. Everything is DataFrame expressions.
 
 A conversation may hold a third of all rows. So messages are numbered, and
 quotes looked up, in blocks of TURNS turns, with one row for each block carried
@@ -17,17 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .storage import table
 
-#: Turns of a block.
-TURNS = 1000
+#: Turns of a block; and levels of quotes that are told apart, deeper ones count as the last.
+TURNS, LEVELS = 1000, 6
 NO_PARENT = -1
 _MARKS = r"^((?:[ \t]*>)+)"
 _ATTRIBUTION = r"(?:wrote|writes|schrieb|escribió|a écrit) ?:[ \t]*$"
 
 
-def _level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), "[^>]", ""))
-
-
 def _norm(line: Column) -> Column:
     """Words of the line without its quote marks: lower case, anything else one blank."""
     body = F.lower(F.regexp_replace(line, _MARKS, ""))
@@ -44,8 +42,41 @@ def _own(lines: Column) -> Column:
     return F.filter(lines, lambda x, i: ~x.rlike(_MARKS) & ~(x.rlike(_ATTRIBUTION) & following(i).rlike(_MARKS)))
 
 
+def _norm_text(text: Column) -> Column:
+    """The same for several lines: one blank between them."""
+    body = F.lower(F.regexp_replace(text, "(?m)" + _MARKS, ""))
+    return F.trim(F.regexp_replace(body, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+
+
+def _passage(level: int) -> str:
+    """The pattern of neighbouring lines of this level (of LEVELS: or deeper), for RE2; the JVM takes it with a possessive end."""
+    rest = r"[ \t]*(?:[^ \t>\n][^\n]*)?" if level < LEVELS else r"[^\n]*"
+    return rf"(?m)(?:^(?:[ \t]*>){{{level}}}{rest}(?:\n|$))+"
+
+
+def _said(split: DataFrame) -> DataFrame:
+    """(conv_id, turn, norm) of what messages say themselves: their whole text, paragraphs and lines."""
+    own = _own(F.col("lines"))
+    text = F.array_join(own, "\n")
+    units = F.flatten(F.array(F.array(_norm_text(text)), F.transform(F.split(text, r"\n[ \t]*\n"), _norm_text), F.transform(own, _norm)))
+    return split.select("conv_id", "turn", F.explode(F.array_distinct(units)).alias("norm")).where("norm <> ''")
+
+
+def _quoted(known: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, passage, hash, times, n_words): a row for each different passage, whose hash is that of its whole text, and one for each of its lines."""
+    def of(k: int) -> Column:
+        bodies = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_passage(k) + "+"), F.lit(0))
+        return F.transform(bodies, lambda x: F.struct(F.lit(k).alias("level"), x.alias("body")))
+
+    found = F.flatten(F.array(*[of(k) for k in range(1, LEVELS + 1)]))
+    p = known.select("conv_id", "turn", F.explode(found).alias("p")).select("conv_id", "turn", "p.level", "p.body", F.md5(_norm_text(F.col("p.body"))).alias("passage"))
+    lines = F.filter(F.transform(F.split(F.regexp_replace("body", "\n$", ""), "\n"), _norm), lambda x: x != "")
+    p = p.withColumn("units", F.array_union(F.array(_norm_text(F.col("body"))), lines)).select("conv_id", "turn", "level", "passage", F.explode("units").alias("norm")).where("norm <> ''")
+    return p.groupBy("conv_id", "turn", "level", "passage", F.md5("norm").alias("hash")).agg(F.count(F.lit(1)).alias("times"), F.first(F.size(F.split("norm", " "))).cast("long").alias("n_words"))
+
+
 def linked(conversations: DataFrame) -> DataFrame:
-    """One row for each row of conversations: seq (place in the reply order, from 0), parent_turn, counts of quotes, and the text without quotes.
+    """One row for each row of conversations: seq (place in the reply order, from 0), parent_turn, the number of quoted lines, the words of quotes whose origin was found, and the text without quotes.
 
     Messages are ordered by turn, then role and text; a message's parent always
     has a smaller turn, so the order puts replies behind what they answer. The
@@ -58,23 +89,23 @@ def linked(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.floor(F.col("turn") / TURNS))
     known = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
 
-    split = known.select("conv_id", "turn", _lines().alias("lines"))
-    quoted = split.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: x.rlike(_MARKS))).alias("line")).select("conv_id", "turn", _level(F.col("line")).alias("level"), _norm(F.col("line")).alias("norm")).where("norm <> ''")
-    quoted = quoted.groupBy("conv_id", F.md5("norm").alias("hash"), "turn").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("times"))
-    own = split.select("conv_id", "turn", F.explode(_own(F.col("lines"))).alias("line")).select("conv_id", "turn", _norm(F.col("line")).alias("norm")).where("norm <> ''")
-    own = own.select("conv_id", F.md5("norm").alias("hash"), "turn").join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
+    quoted = _quoted(known)
+    own = _said(known.select("conv_id", "turn", _lines().alias("lines"))).select("conv_id", F.md5("norm").alias("hash"), "turn").join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
 
-    # the latest earlier turn with the line: within the block, or else the last one of an earlier block
-    both = own.select("conv_id", "hash", "turn", F.col("turn").alias("source"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("times")).unionByName(
+    # the latest earlier turn that says it: within the block, or else the last one of an earlier block
+    both = own.select("conv_id", "hash", "turn", F.col("turn").alias("source"), *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("passage", "string"), ("times", "long"), ("n_words", "long"))]).unionByName(
         quoted.withColumn("source", F.lit(None).cast("long"))).withColumn("block", F.floor(F.col("turn") / TURNS))
     inside = Window.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("near", F.max("source").over(inside)).where("times IS NOT NULL")
     ends = own.groupBy("conv_id", "hash", F.floor(F.col("turn") / TURNS).alias("block")).agg(F.max("turn").alias("end")).unionByName(
         quoted.select("conv_id", "hash", F.floor(F.col("turn") / TURNS).alias("block"), F.lit(None).cast("long").alias("end")))
     ends = ends.groupBy("conv_id", "hash", "block").agg(F.max("end").alias("end")).withColumn("far", F.max("end").over(Window.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    links = found.join(ends.select("conv_id", "hash", "block", "far"), ["conv_id", "hash", "block"]).select("conv_id", "turn", "level", "times", F.coalesce("near", "far").alias("source"))
+    links = found.join(ends.select("conv_id", "hash", "block", "far"), ["conv_id", "hash", "block"]).select("conv_id", "turn", "level", "passage", "hash", "times", "n_words", F.coalesce("near", "far").alias("source")).where("source IS NOT NULL")
 
-    votes = links.where("source IS NOT NULL").groupBy("conv_id", "turn", "level", "source").agg(F.sum("times").alias("votes"))
+    # a passage that is said as a whole counts as such, else its lines do
+    whole = links.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.col("hash") == F.col("passage")).alias("whole"), F.collect_set(F.struct("hash", "source", (F.col("times") * F.col("n_words")).alias("n_words"))).alias("l"))
+    counted = whole.select("conv_id", "turn", "level", "passage", F.explode(F.filter("l", lambda x: ~F.col("whole") | (x["hash"] == F.col("passage")))).alias("x"))
+    votes = counted.groupBy("conv_id", "turn", "level", F.col("x.source").alias("source")).agg(F.sum("x.n_words").alias("votes"))
     parent = votes.groupBy("conv_id", "turn").agg(F.min(F.struct(F.col("level"), (-F.col("votes")).alias("v"), (-F.col("source")).alias("s"))).alias("best"), F.sum("votes").alias("n_linked")).select("conv_id", "turn", (-F.col("best.s")).alias("quoted_turn"), "n_linked")
 
     # the turn before, and the place in the order: within the block, plus what earlier blocks end with
@@ -92,26 +123,51 @@ def linked(conversations: DataFrame) -> DataFrame:
     return out.unionByName(loose)
 
 
+def threads(conversations: DataFrame) -> DataFrame:
+    """(conv_id, part, messages): conversations without quotes, TURNS messages a row; messages are (seq, turn, parent_turn, role, text) in reply order."""
+    m = linked(conversations).where("seq IS NOT NULL")
+    return m.groupBy("conv_id", F.floor(F.col("seq") / TURNS).alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "turn", "parent_turn", "role", "text"))).alias("messages"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
 
 
-SQL = r"""
+def _inlined(sql: str) -> str:
+    """The SQL with the normal forms, and a SELECT for the passages of each level, in place of their names."""
+    words = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    passages = " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS level, unnest(regexp_extract_all(t, '{_passage(k)}')) AS body FROM k" for k in range(1, LEVELS + 1))
+    sql = sql.replace("PASSAGES", passages)
+    for name, flag in (("NORM_TEXT", "(?m)"), ("NORM_LINE", "")):
+        while name in sql:
+            at = sql.index(name)
+            end, depth = at + len(name), 0
+            while True:
+                depth += {"(": 1, ")": -1}.get(sql[end], 0)
+                end += 1
+                if not depth:
+                    break
+            inner = sql[at + len(name) + 1 : end - 1]
+            sql = sql[:at] + f"trim(regexp_replace(lower(regexp_replace({inner}, '{flag}{_MARKS}', '', 'g')), '{words}', ' ', 'g'), ' ')" + sql[end:]
+    return sql
+
+
+SQL = _inlined(r"""
 WITH m AS (SELECT conv_id, turn, role, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
-x AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(list_concat(lines[2:], [''])) AS following FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-y AS (SELECT conv_id, turn, regexp_matches(line, '^((?:[ \t]*>)+)') AS q, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
-             regexp_matches(line, '(?:wrote|writes|schrieb|escribió|a écrit) ?:[ \t]*$') AND regexp_matches(following, '^((?:[ \t]*>)+)') AS attribution,
-             trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)', '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS norm FROM x),
-quoted AS (SELECT conv_id, norm, turn, min(level) AS level, count(*) AS times FROM y WHERE q AND norm <> '' GROUP BY ALL),
-own AS (SELECT DISTINCT conv_id, norm, turn FROM y WHERE NOT q AND NOT attribution AND norm <> ''),
-links AS (SELECT quoted.conv_id, quoted.turn, any_value(level) AS level, any_value(times) AS times, max(own.turn) AS source
-          FROM quoted JOIN own ON own.conv_id = quoted.conv_id AND own.norm = quoted.norm AND own.turn < quoted.turn GROUP BY quoted.conv_id, quoted.norm, quoted.turn),
-votes AS (SELECT conv_id, turn, level, source, sum(times) AS votes FROM links GROUP BY ALL),
+k AS (SELECT conv_id, turn, coalesce(text, '') AS t, list_filter(lines, lambda l, i: NOT regexp_matches(l, '^((?:[ \t]*>)+)') AND NOT (regexp_matches(l, '(?:wrote|writes|schrieb|escribió|a écrit) ?:[ \t]*$') AND regexp_matches(coalesce(lines[i + 1], ''), '^((?:[ \t]*>)+)'))) AS own FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+said AS (SELECT DISTINCT conv_id, turn, norm FROM (SELECT conv_id, turn, unnest(list_concat([NORM_TEXT(array_to_string(own, chr(10)))], list_transform(regexp_split_to_array(array_to_string(own, chr(10)), '\n[ \t]*\n'), lambda x: NORM_TEXT(x)), list_transform(own, lambda x: NORM_LINE(x)))) AS norm FROM k) WHERE norm <> ''),
+p AS (PASSAGES),
+q AS (SELECT conv_id, turn, level, NORM_TEXT(body) AS passage, list_distinct(list_concat([NORM_TEXT(body)], list_filter(list_transform(string_split(regexp_replace(body, '\n$', ''), chr(10)), lambda x: NORM_LINE(x)), lambda x: x <> ''))) AS units FROM p),
+quoted AS (SELECT conv_id, turn, level, passage, norm, count(*) AS times, any_value(len(string_split(norm, ' '))) AS n_words FROM (SELECT conv_id, turn, level, passage, unnest(units) AS norm FROM q) WHERE norm <> '' GROUP BY ALL),
+links AS (SELECT quoted.conv_id, quoted.turn, level, passage, quoted.norm, any_value(times * n_words) AS n_words, max(said.turn) AS source
+          FROM quoted JOIN said ON said.conv_id = quoted.conv_id AND said.norm = quoted.norm AND said.turn < quoted.turn GROUP BY quoted.conv_id, quoted.turn, level, passage, quoted.norm),
+counted AS (SELECT *, max(norm = passage) OVER (PARTITION BY conv_id, turn, level, passage) AS whole FROM links),
+votes AS (SELECT conv_id, turn, level, source, sum(n_words) AS votes FROM counted WHERE NOT whole OR norm = passage GROUP BY ALL),
 parent AS (SELECT conv_id, turn, first(source ORDER BY level, votes DESC, source DESC) AS quoted_turn, sum(votes) AS n_linked FROM votes GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role,
        CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn, m.role, m.text) - 1 END AS seq,
-       coalesce(quoted_turn, max(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS parent_turn,
+       coalesce(quoted_turn, CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN max(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, -1) AS parent_turn,
        CAST(len(list_filter(lines, lambda l: regexp_matches(l, '^((?:[ \t]*>)+)'))) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
        trim(array_to_string(list_filter(lines, lambda l, i: NOT regexp_matches(l, '^((?:[ \t]*>)+)') AND NOT (regexp_matches(l, '(?:wrote|writes|schrieb|escribió|a écrit) ?:[ \t]*$') AND regexp_matches(coalesce(lines[i + 1], ''), '^((?:[ \t]*>)+)'))), chr(10)), ' ') AS text
 FROM m LEFT JOIN parent ON parent.conv_id = m.conv_id AND parent.turn = m.turn
-"""
+""")

@@ -194,13 +194,61 @@ CHAT = [
 
 def test_quotes(spark):
     out = quotes.linked(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"))
-    got = {(r.conv_id, r.turn, r.text): (r.seq, r.parent_turn, r.n_quoted, r.n_linked) for r in out.collect()}
+    got = {(r.conv_id, r.turn, r.text): (r.seq, r.parent_turn, r.n_quoted) for r in out.collect()}
     assert got == {
-        (1, 0, "Hello there\nHow are you?"): (0, -1, 0, 0), (1, 1, "Fine."): (1, 0, 1, 1), (1, 2, "Good"): (2, 1, 2, 2), (1, 3, ""): (3, 2, 2, 1),
-        (1, 1500, "late"): (4, 2, 1, 1), (2, 0, ""): (0, -1, 0, 0), (2, 0, "Good"): (1, -1, 0, 0), (None, 1, ""): (None, -1, 1, 0),
+        (1, 0, "Hello there\nHow are you?"): (0, -1, 0), (1, 1, "Fine."): (1, 0, 1), (1, 2, "Good"): (2, 1, 2), (1, 3, ""): (3, 2, 2),
+        (1, 1500, "late"): (4, 2, 1), (2, 0, ""): (0, -1, 0), (2, 0, "Good"): (1, -1, 0), (None, 1, ""): (None, -1, 1),
     }
 
 
+def test_a_passage_counts_as_a_whole(spark):
+    """A line that many say links to the message that says the passage, not to the latest one with the line."""
+    chat = [(1, 0, "a", "Shall we?\nThanks"), (1, 1, "b", "No"), (1, 2, "c", "Thanks"), (1, 3, "b", "> Shall we?\n> Thanks\nYes"), (1, 4, "a", "> Thanks\nWelcome"), (1, 5, "a", "x wrote:\n>> Shall we?\n> Yes\nGood")]
+    frame = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.n_linked, r.text) for r in quotes.linked(frame).collect()}
+    assert got == {0: (-1, 0, "Shall we?\nThanks"), 1: (0, 0, "No"), 2: (1, 0, "Thanks"), 3: (0, 3, "Yes"), 4: (2, 1, "Welcome"), 5: (3, 3, "Good")}
+    parts = quotes.threads(frame).collect()
+    assert [(p.conv_id, p.part, [m.turn for m in p.messages]) for p in parts] == [(1, 0, [0, 1, 2, 3, 4, 5])]
+
+
+def test_chat_query_on_empty_and_odd_tables(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string, seq string, passage string, level string"
+    odd = [(None, None, None, None, "x", "x", "x"), (1, None, "a", "> x", "x", "x", "x"), (1, 0, None, None, "x", "x", "x"), (1, 1, "a", "z " * 3000 + "\n" + "> q\n" * 3000, "x", "x", "x"), (1, 1, "a", "z " * 3000 + "\n" + "> q\n" * 3000, "x", "x", "x")]
+    for rows in ([], odd):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+        out = quotes.op7_chat_formatting(spark, str(tmp_path)).collect()
+        assert len(out) == len(rows) and all((r.seq is None) == (r.conv_id is None or r.turn is None) for r in out)
+
+
+def test_quotes_equal_the_sql(spark):
+    import duckdb
+
+    rng = random.Random(12)
+    own = ["thanks", "see you", "Shall we meet?", "yes", "no", "the plan is good", ""]
+    rows = []
+    for conv in range(24):
+        said = []
+        for turn in range(rng.choice([1, 5, 30])):
+            lines = []
+            for _ in range(rng.randint(0, 4)):
+                if said and rng.random() < 0.6:
+                    block, level = rng.choice(said).split("\n"), rng.randint(1, 8)
+                    lines += [rng.choice([">" * level + " ", " > " * level]) + x for x in block[: rng.randint(1, 3)]]
+                else:
+                    lines.append(rng.choice([*own, "x wrote:"]))
+            said.append("\n".join(lines))
+            rows.append((conv if rng.random() < 0.97 else None, turn * rng.choice([1, 1, 400]), rng.choice(["user", "assistant"]), said[-1] if rng.random() < 0.95 else None))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    duck = duckdb.connect()
+    table = frame.toArrow()
+    duck.register("conversations", table)
+    out = quotes.linked(frame)
+    got = duck.execute(f"SELECT {', '.join(out.columns)} FROM ({quotes.SQL})").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, out.collect())) == sorted(map(key, got))
+    assert sum(r.n_linked > 0 for r in out.collect()) > 10
+
+
 def test_license_prefilter_hides_no_match():
     import random
 
