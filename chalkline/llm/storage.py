@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -12,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 NO_ID = -(2**63)
 
 
+#: Tables that queries may still read; they go when the program ends.
+_LEFT: set[str] = set()
+
+
+@atexit.register
+def _sweep() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop(spark, *list(_LEFT))
+
+
 def shared(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +66,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = fresh(spark, name)
     with swept(spark):
         df.write.parquet(path)
+    _LEFT.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -83,6 +97,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _LEFT.discard(p)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
