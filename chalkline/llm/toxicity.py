@@ -4,7 +4,8 @@ The kernel compares words: K(s, t) sums over all subsequences of ORDER symbols
 that s and t share, each weighted by DECAY to the power of the span that it takes
 in either word, divided by the roots of K(s, s) and K(t, t). So inserted
 characters and gaps cost a little instead of breaking the match. It is computed
-exactly, as the product of the words' explicit features; no value is cut off.
+exactly, by dynamic programming over the prefixes of both words, for all pairs that
+have such a subsequence in common; no value is cut off.
 Symbols are letters in lower case, with a mark at either end of the word; other
 characters inside a word are dropped ("id*iot"), and runs of single letters
 ("i d i o t") are read as one word. A word of more than LONGEST letters is taken
@@ -27,8 +28,6 @@ the SVM learns what small kernel values of disguised words are worth.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from .storage import table
 
 ORDER, DECAY = 5, 0.95
 #: Letters of a word, or of a window of a longer one; such windows begin STEP letters apart.
-LONGEST, STEP = 14, 7
+LONGEST, STEP = 28, 14
 #: Landmarks, and the least share of a word that the landmarks so far don't explain.
 LANDMARKS, LEAST_RESIDUAL = 120, 0.05
 #: Words that are so uneven by chance, among all the words tried, that may be expected among the candidates for landmarks; and how often one may stand in harmless texts, as a share of its rate in toxic ones.
@@ -113,13 +112,6 @@ def unit(word: bytes) -> bytes:
     return b"^" + word + b"$"
 
 
-@lru_cache(maxsize=None)
-def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all subsequences of a word of so many symbols, and their weights."""
-    at = np.array(list(combinations(range(length), ORDER)), np.int64).reshape(-1, ORDER)
-    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
-
-
 def _windows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and unit of the windows: short units as they are, longer ones in pieces that overlap."""
     n, top = end - start, LONGEST + 2
@@ -131,79 +123,77 @@ def _windows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _common(grid: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Whether each row of symbols shares a subsequence of ORDER symbols with any word of masks (bit i of masks[c, w]: symbol i of word w is c), by bit-parallel longest common subsequences."""
+    """Whether each row of symbols shares a subsequence of ORDER symbols with each word of masks (bit i of masks[c, w]: symbol i of word w is c), by bit-parallel longest common subsequences."""
     full = np.bitwise_or.reduce(masks, axis=0)
     state = np.broadcast_to(full, (len(grid), masks.shape[1])).copy()
     for k in range(grid.shape[1]):
         m = masks[grid[:, k]]
         x = state & m
         state = (state + x) | (state - x)
-    return (np.bitwise_count(~state & full[None, :]) >= ORDER).any(axis=1)
-
-
-def _features(data: np.ndarray, start: np.ndarray, end: np.ndarray, masks: np.ndarray | None = None):
-    """(index, codes, weights) of the spans, some of one length at a time: a row for each span, a column for each subsequence. Those that share none with the words of masks are left out."""
-    symbols, size = _SYMBOL[data], end - start
-    for length in np.unique(size[size >= ORDER]):
-        at, weight = _places(int(length))
-        own = np.flatnonzero(size == length)
-        if masks is not None:
-            near = [_common(symbols[start[own[lo : lo + (1 << 14)]][:, None] + np.arange(length)[None, :]], masks) for lo in range(0, len(own), 1 << 14)]
-            own = own[np.concatenate(near)]
-        step = max(1, (1 << 20) // len(at))
-        for lo in range(0, len(own), step):
-            index = own[lo : lo + step]
-            grid = symbols[start[index][:, None] + np.arange(length)[None, :]]
-            code = np.zeros((len(index), len(at)), np.int32)
-            for k in range(ORDER):
-                code = (code << _BITS) | grid[:, at[:, k]]
-            yield index, code, weight
-
-
-def _summed(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, code and weight of the different subsequences of each row, and with them the norm of each row."""
-    order = np.argsort(code, axis=1)
-    ranked, w = np.take_along_axis(code, order, 1), weight[order]
-    new = np.ones(ranked.shape, bool)
-    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    flat = np.flatnonzero(new)
-    total = np.add.reduceat(w.ravel(), flat)
-    row = flat // code.shape[1]
-    norm = np.sqrt(np.bincount(row, total.astype(np.float64) ** 2, len(code)))
-    return row, ranked.ravel()[flat], (total / norm[row]).astype(np.float32)
+    return np.bitwise_count(~state & full[None, :]) >= ORDER
+
+
+def _plain(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The kernel before it is normalised, of each row of s and the same row of t (symbols; -1 behind the end of t), by dynamic programming over prefixes."""
+    rows, n = len(s), t.shape[1]
+    square = np.float32(DECAY * DECAY)
+    # part[i, j]: subsequences of i symbols in s so far and in t[:j], weighed up to the ends of both
+    part = np.zeros((ORDER, n + 1, rows), np.float32)
+    part[0] = 1
+    out = np.zeros(rows, np.float32)
+    t = np.ascontiguousarray(t.T)
+    for a in range(s.shape[1]):
+        same = t == s[:, a][None, :]
+        open_ = np.zeros((ORDER - 1, rows), np.float32)
+        before = part[:, 0].copy()  # part[:, j - 1] as it was before this symbol
+        for j in range(1, n + 1):
+            hit = same[j - 1] * square
+            out += hit * before[-1]
+            open_ *= np.float32(DECAY)
+            open_ += hit * before[:-1]
+            before[:] = part[:, j]
+            part[1:, j] *= np.float32(DECAY)
+            part[1:, j] += open_
+    return out
 
 
 class Landmarks:
+    """Words and what finds them: masks for the search of common subsequences, symbols and norms for the kernel."""
+
     def __init__(self, words: list[bytes]):
         self.words = words
-        data = np.frombuffer(b"".join(words), np.uint8)
-        end = np.cumsum([len(w) for w in words])
-        start = end - np.array([len(w) for w in words])
-        found = [(index[r], c, x) for index, code, weight in _features(data, start, end) for r, c, x in [_summed(code, weight)]]
-        word, code, value = (np.concatenate([f[k] for f in found]) for k in range(3))
-        self.codes, at = np.unique(code, return_inverse=True)
-        self.rows = np.zeros((len(self.codes), len(words)), np.float32)
-        self.rows[at, word] = value
+        size = max(len(w) for w in words)
+        self.symbols = np.full((len(words), size), -1, np.int32)
         self.masks = np.zeros((1 << _BITS, len(words)), np.uint32)
         for i, w in enumerate(words):
-            for k, c in enumerate(w[: LONGEST + 2]):
+            self.symbols[i, : len(w)] = _SYMBOL[np.frombuffer(w, np.uint8)]
+            for k, c in enumerate(w):
                 self.masks[_SYMBOL[c], i] |= np.uint32(1 << k)
+        self.norms = np.zeros(len(words), np.float32)
+        for n in {len(w) for w in words}:
+            own = [i for i, w in enumerate(words) if len(w) == n]
+            self.norms[own] = np.sqrt(_plain(self.symbols[own, :n], self.symbols[own, :n]))
 
     def likeness(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The units that share a subsequence with any landmark, and for each of them the kernel with every landmark."""
+        """The units that share a subsequence of ORDER symbols with any landmark, and for each of them the kernel with every landmark."""
         begin, stop, owner = _windows(start, end)
+        symbols, size = _SYMBOL[data], stop - begin
         units_, kernels = [], []
-        for index, code, weight in _features(data, begin, stop, self.masks):
-            row, c, x = _summed(code, weight)
-            place = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
-            hit = np.flatnonzero(self.codes[place] == c)
-            row, place, x = row[hit], place[hit], x[hit]
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            for lo in range(0, len(first), 1 << 12):  # rows at once, to bound memory
-                f = first[lo : lo + (1 << 12)]
-                e = first[lo + (1 << 12)] if lo + (1 << 12) < len(first) else len(row)
-                kernels.append(np.add.reduceat(self.rows[place[f[0] : e]] * x[f[0] : e, None], f - f[0], axis=0))
-                units_.append(owner[index[row[f]]])
+        for length in np.unique(size[size >= ORDER]):
+            own = np.flatnonzero(size == length)
+            for lo in range(0, len(own), 1 << 13):  # at once, to bound memory
+                index = own[lo : lo + (1 << 13)]
+                grid = symbols[begin[index][:, None] + np.arange(length)[None, :]]
+                word, mark = np.nonzero(_common(grid, self.masks))
+                if not len(word):
+                    continue
+                some, at = np.unique(word, return_inverse=True)
+                norm = np.sqrt(_plain(grid[some], grid[some]))
+                value = np.concatenate([_plain(grid[word[k : k + (1 << 13)]], self.symbols[mark[k : k + (1 << 13)]]) for k in range(0, len(word), 1 << 13)])
+                kernel = np.zeros((len(some), len(self.words)), np.float32)
+                kernel[at, mark] = value / (norm[at] * self.norms[mark])
+                units_.append(owner[index[some]])
+                kernels.append(kernel)
         if not units_:
             return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
         u, k = np.concatenate(units_), np.concatenate(kernels)
