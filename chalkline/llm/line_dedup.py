@@ -202,3 +202,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__line_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
+
+
+SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE text <> ''),
+t AS (SELECT doc_id, raw, p, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM l),
+u AS (SELECT s, min((doc_id, p)) AS place, length(s) AS n FROM t WHERE length(s) >= {MIN_CHARS} GROUP BY s),
+m AS (SELECT *, unnest([n, n - 1]) AS m FROM u),
+h AS (SELECT s, place, n, m, 'left' AS side, substr(s, 1, m // 2) AS half FROM m UNION ALL SELECT s, place, n, m, 'right', right(s, m - m // 2) FROM m),
+pairs AS (SELECT DISTINCT a.s AS a, a.n AS x, b.s AS b, b.n AS y FROM h a JOIN h b ON b.m = a.m AND b.side = a.side AND b.half = a.half AND b.place < a.place WHERE abs(a.n - b.n) <= 1 AND levenshtein(a.s, b.s) <= 4),
+near AS (SELECT DISTINCT a AS s FROM pairs WHERE len(list_filter(range(greatest(x, y)), lambda i: substr(a, 1, i) = substr(b, 1, i) AND CASE WHEN x = y THEN substr(a, i + 2) = substr(b, i + 2) WHEN x > y THEN substr(a, i + 2) = substr(b, i + 1) ELSE substr(a, i + 1) = substr(b, i + 2) END)) > 0),
+g AS (SELECT t.*, coalesce(near.s IS NOT NULL OR (t.doc_id, t.p) <> u.place, false) AS gone FROM t LEFT JOIN u ON u.s = t.s LEFT JOIN near ON near.s = t.s),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

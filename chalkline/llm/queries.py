@@ -18,6 +18,8 @@ QUERIES = {
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op5_mixing": mixing.SQL,
     "op7_chat_formatting": quotes.SQL,
+    "op8_substring_dedup": substrings.SQL,
 }

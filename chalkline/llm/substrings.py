@@ -365,3 +365,14 @@ def substring_dedup(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+g AS (SELECT doc_id, p, string_agg(word, ' ') OVER o AS k, count(*) OVER o AS n FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM g WHERE n = {WINDOW}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS p FROM f WHERE r > 1),
+k AS (SELECT x.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE gone.p IS NULL) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
