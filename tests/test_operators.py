@@ -26,6 +26,55 @@ def test_both_nearest_joins_equal_a_python_minimum(spark):
     assert a == b
 
 
+def test_nearest_is_linear_in_a_run(spark):
+    """One run of 200,000 frames and 20,000 segments."""
+    import time
+
+    f = spark.range(200_000).select(F.lit("a").alias("run_id"), F.col("id").alias("frame_idx"), (F.col("id") * 2.0).alias("time_s"))
+    s = spark.range(20_000).select(F.lit("a").alias("run_id"), F.col("id").alias("seg_idx"), (F.col("id") * 20.0 + 5.0).alias("mid"))
+    began = time.time()
+    out = align.nearest(s, f, "mid", ["frame_idx"]).where("frame_idx <> seg_idx * 10 + 2").count()
+    assert out == 0 and time.time() - began < 120
+
+
+def test_folds_pass_long_runs(spark):
+    """A run of 50,000 rows in one pass; the state is the last kept row."""
+    rows = spark.range(50_000).select(F.lit("a").alias("run_id"), F.col("id").alias("n"), (F.col("id") % 7).cast("double").alias("value"))
+    out = folds.keep_fold(rows, ["n"], ["value"], lambda last, row: (abs(row["value"] - last["value"]) >= 3, row["value"] - last["value"]), more="moved double")
+    last, kept = None, 0
+    for i in range(50_000):
+        if last is None or abs(i % 7 - last) >= 3:
+            last, kept = i % 7, kept + 1
+    assert out.where("kept").count() == kept and out.where("moved IS NULL").count() == 1
+
+
+def test_guards_options_and_skips(spark):
+    r = spark.createDataFrame([(1, None, None), (2, "running", True), (3, "completed", False), (4, "completed", True), (5, "completed", None)], "id int, status string, ok boolean")
+    assert [x.g for x in r.orderBy("id").select(runs.guard(F.col("status"), F.col("ok")).alias("g")).collect()] == [404, 400, 400, 200, 400]
+    o = spark.createDataFrame([(True, 50, 1.0), (False, 50, 1.0), (True, 0, 1.0), (True, 100, 0.0)], "e boolean, q int, i double")
+    assert [x.w for x in o.select(files.option_error(F.col("e"), F.col("q"), F.col("i")).alias("w")).collect()] == [None, "no such video", "quality must be from 1 to 100", "interval must be positive"]
+    k = spark.createDataFrame([(True, 0.5, 0.5), (False, 0.9, 0.0012)], "k boolean, s double, c double")
+    assert [x.m for x in k.select(folds.skip_method(F.col("k"), F.col("s"), F.col("c")).alias("m")).collect()] == ["vision", "skipped_similar_frame (sim=0.900, change=0.0012)"]
+
+
+def test_search_of_many_equals_search_of_one(spark, monkeypatch):
+    random.seed(4)
+    monkeypatch.setattr(search, "BLOCK", 3)
+    rows = [(i, [random.uniform(-1, 1) for _ in range(6)]) for i in range(60)] + [(100, [0.0] * 6), (101, None), (102, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.top_k_each(v, v.where("vec_id % 20 = 0"), "vec_id", k=4, parts=5).collect()
+    for q in (0, 20, 40):
+        one = search.top_k(v.where("size(embedding) = 6"), rows[q][1], k=4, order="vec_id").collect()
+        assert [(r.vec_id, round(r.score, 9)) for r in sorted((r for r in got if r.query == q), key=lambda r: -r.score)] == [(r.vec_id, round(r.score, 9)) for r in one]
+    assert not [r for r in got if r.query == 100 or r.vec_id in (100, 101)]
+
+
+def test_transcription_and_extraction_fail_by_row(spark):
+    rows = spark.createDataFrame([(1, "1"), (4, "4"), (0, "x")], "id int, audio string")
+    got = {r.id: (r.status, r.asked, (r.error or "").split(":")[0]) for r in providers.transcribed(rows, "audio", providers.RuledService).collect()}
+    assert got == {1: ("completed", 2, ""), 4: ("error", 5, "RuntimeError"), 0: ("error", 0, "ValueError")}
+
+
 def test_visible_ends_are_included(spark):
     t = spark.createDataFrame([("a", 10.0), ("a", 70.0), ("a", 130.5)], "run_id string, t double")
     e = spark.createDataFrame([("a", 1, 10.0, 70.0), ("a", 2, 70.5, 400.0)], "run_id string, id int, first_seen double, last_seen double")
