@@ -69,7 +69,7 @@ def _quoted(known: DataFrame) -> DataFrame:
         return F.transform(bodies, lambda x: F.struct(F.lit(k).alias("level"), x.alias("body")))
 
     found = F.flatten(F.array(*[of(k) for k in range(1, LEVELS + 1)]))
-    p = known.select("conv_id", "turn", F.explode(found).alias("p")).select("conv_id", "turn", "p.level", "p.body", F.md5(_norm_text(F.col("p.body"))).alias("passage"))
+    p = known.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", F.explode(found).alias("p")).select("conv_id", "turn", "p.level", "p.body", F.md5(_norm_text(F.col("p.body"))).alias("passage"))
     lines = F.filter(F.transform(F.split(F.regexp_replace("body", "\n$", ""), "\n"), _norm), lambda x: x != "")
     p = p.withColumn("units", F.array_union(F.array(_norm_text(F.col("body"))), lines)).select("conv_id", "turn", "level", "passage", F.explode("units").alias("norm")).where("norm <> ''")
     return p.groupBy("conv_id", "turn", "level", "passage", F.md5("norm").alias("hash")).agg(F.count(F.lit(1)).alias("times"), F.first(F.size(F.split("norm", " "))).cast("long").alias("n_words"))
