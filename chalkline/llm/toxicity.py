@@ -437,6 +437,10 @@ def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds:
     model.a, model.b = platt(_flattened(z), label)
     if prior is not None and 0 < prior < 1:
         model.b += float(np.log(prior / (1 - prior)) - np.log(label.mean() / (1 - label.mean())))
+    # 0.5 lies no lower than half way from the highest harmless text to the SVM's boundary, or than that text where it is beyond
+    most = float(_flattened(z[label == 0]).max(initial=-1.0))
+    if model.a > 0:
+        model.b = min(model.b, -model.a * (most + max(most, 0.0)) / 2 - 1e-6)
     return model
 
 
