@@ -86,7 +86,9 @@ def cell_rates(docs: DataFrame, sweeps: int = SWEEPS, budget: float = BUDGET) ->
     by_topic = shares(topics, lambda k, x: x**TOPIC_POWER)
     f, factor = [1.0] * len(pairs), F.lit(1.0)
     for _ in range(sweeps if any(n) else 0):
-        factor = target / whole / sum((x * F.lit(y) for x, y in zip(ns[1:], f[1:])), ns[0] * F.lit(f[0]))
+        # as one array the factors are data of the generated code, which is then the same in each sweep
+        held_by = F.aggregate(F.zip_with("ns", F.lit(f), lambda n, y: n * y), F.lit(0.0), lambda a, b: a + b)
+        factor = target / whole / held_by
         sums = list(sources.agg(*[F.sum(x * factor) for x in ns]).first())
         f = _rake(sums, f, langs, by_lang)
         f = _rake(sums, f, topics, by_topic)
