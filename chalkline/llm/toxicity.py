@@ -141,19 +141,23 @@ def _plain(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     part = np.zeros((ORDER, n + 1, rows), np.float32)
     part[0] = 1
     out = np.zeros(rows, np.float32)
-    t = np.ascontiguousarray(t.T)
-    for a in range(s.shape[1]):
-        same = t == s[:, a][None, :]
-        open_ = np.zeros((ORDER - 1, rows), np.float32)
-        before = part[:, 0].copy()  # part[:, j - 1] as it was before this symbol
+    s, t = np.ascontiguousarray(s.T.astype(np.int8)), np.ascontiguousarray(t.T.astype(np.int8))
+    open_, before, step = (np.empty((k, rows), np.float32) for k in (ORDER - 1, ORDER, ORDER - 1))
+    decay = np.float32(DECAY)
+    for symbol in s:
+        same = (t == symbol[None, :]).astype(np.float32) * square
+        open_[:] = 0
+        before[:] = part[:, 0]  # part[:, j - 1] as it was before this symbol
         for j in range(1, n + 1):
-            hit = same[j - 1] * square
+            hit = same[j - 1]
             out += hit * before[-1]
-            open_ *= np.float32(DECAY)
-            open_ += hit * before[:-1]
+            np.multiply(before[:-1], hit, out=step)
+            open_ *= decay
+            open_ += step
             before[:] = part[:, j]
-            part[1:, j] *= np.float32(DECAY)
-            part[1:, j] += open_
+            own = part[1:, j]
+            own *= decay
+            own += open_
     return out
 
 
@@ -162,8 +166,8 @@ class Landmarks:
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        size = max(len(w) for w in words)
-        self.symbols = np.full((len(words), size), -1, np.int32)
+        self.sizes = np.array([len(w) for w in words])
+        self.symbols = np.full((len(words), self.sizes.max()), -1, np.int32)
         self.masks = np.zeros((1 << _BITS, len(words)), np.uint32)
         for i, w in enumerate(words):
             self.symbols[i, : len(w)] = _SYMBOL[np.frombuffer(w, np.uint8)]
@@ -189,7 +193,11 @@ class Landmarks:
                     continue
                 some, at = np.unique(word, return_inverse=True)
                 norm = np.sqrt(_plain(grid[some], grid[some]))
-                value = np.concatenate([_plain(grid[word[k : k + (1 << 13)]], self.symbols[mark[k : k + (1 << 13)]]) for k in range(0, len(word), 1 << 13)])
+                order = np.argsort(self.sizes[mark], kind="stable")  # pairs of landmarks of like sizes together
+                value = np.empty(len(word), np.float32)
+                for k in range(0, len(word), 1 << 13):  # as many as the caches hold
+                    pair = order[k : k + (1 << 13)]
+                    value[pair] = _plain(grid[word[pair]], self.symbols[mark[pair], : self.sizes[mark[pair[-1]]]])
                 kernel = np.zeros((len(some), len(self.words)), np.float32)
                 kernel[at, mark] = value / (norm[at] * self.norms[mark])
                 units_.append(owner[index[some]])
