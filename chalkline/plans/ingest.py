@@ -15,8 +15,8 @@ _TABLES = "benchmark conversations customer documents embeddings events labels l
 
 @query(f"SELECT unnest([{', '.join(repr(x + '.parquet') for x in _TABLES)}]) AS name")
 def directory_scan(spark, sf_dir):
-    """Files of a folder by their suffix, in the order of their paths."""
-    return files.find_files(spark, sf_dir, [".parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    """Tables of a folder by their suffix, files or folders of part files, in the order of their paths."""
+    return files.find_tables(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
 @query("SELECT 'region.parquet' AS name, true AS whole")

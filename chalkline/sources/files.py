@@ -26,6 +26,25 @@ def find_files(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFra
     return files.where(suffix(F.col("path")).isin(suffixes)).select("path", "length").orderBy("path")
 
 
+def find_tables(spark: SparkSession, folder: str, suffix_: str = ".parquet") -> DataFrame:
+    """(path, length) of the tables right in the folder, by path: files with the suffix, and folders with it, whose part files count together.
+
+    Only such folders are looked into, however deep their part files lie. A missing folder has none.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    ending = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix_)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder.rstrip('/')}/*{ending}")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, length long")
+    entry = F.array_join(F.slice(F.split("path", "/"), 1, root.count("/") + 2), "/")
+    return files.groupBy(entry.alias("path")).agg(F.sum("length").alias("length")).orderBy("path")
+
+
 def find_videos(spark: SparkSession, folder: str) -> DataFrame:
     return find_files(spark, folder, VIDEO_SUFFIXES)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chalkline import catalog, plans  # noqa: F401
 from chalkline.functions import text as t
+from chalkline.sources import files
 
 from .test_oracle import rows
 
@@ -35,3 +36,21 @@ def test_upper_case_of_every_letter(spark):
     got = spark.createDataFrame(list(enumerate(parts)), "i int, s string").select("i", t.upper(F.col("s"))).collect()
     other = {(a, b) for i, u in got for a, b in zip(u, c.execute("select upper(?)", [parts[i]]).fetchone()[0], strict=True) if a != b}
     assert not other, other
+
+
+def test_tables_that_are_folders(spark, tmp_path):
+    for n in ("b.parquet/part-0.parquet", "b.parquet/part-1.parquet", "c.PARQUET/day=1/x.parquet/part-0", "a.parquet", "d.txt", "e/f.parquet", "_g.parquet"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"xy")
+    want = [("a.parquet", 2), ("b.parquet", 4), ("c.PARQUET", 2)]
+    for folder in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        got = [(r.path, r.length) for r in files.find_tables(spark, folder).collect()]
+        assert [(p.removeprefix(f"file:{tmp_path}/"), n) for p, n in got] == want
+    assert files.find_tables(spark, str(tmp_path / "none")).count() == 0 and files.find_tables(spark, str(tmp_path / "e" / "..")).count() == 3
+
+
+def test_directory_scan_finds_tables_in_parts(spark, tmp_path):
+    for name in os.listdir("/root/testdata/sf0.001"):
+        parts = name in ("documents.parquet", "labels.parquet")
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}").repartition(3).write.parquet(str(tmp_path / name)) if parts else os.symlink(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    same(spark, tmp_path, "directory_scan")
