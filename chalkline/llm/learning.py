@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -22,6 +27,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     return [(d, *got[d]) for d in sorted(got)]
 
 
+def released() -> None:
+    """What the driver's Python has freed goes back to the system, so that later steps don't carry the memory of a fit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 

@@ -27,6 +27,7 @@ the SVM learns what small kernel values of disguised words are worth.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .kernels import SPACE, Words, blocks, mix, running, span_hash, _BYTES
-from .learning import labelled_sample, platt, sigmoid
+from .learning import labelled_sample, platt, released, sigmoid
 from .storage import table
 
 ORDER, DECAY = 5, 0.95
@@ -52,6 +53,8 @@ TOXIC_WEIGHT, DISGUISED, COPIES = 0.08, 0.3, 6
 REMEMBERED = 1 << 20
 #: Labelled rows of each class that the fit may use, and words of harmless texts.
 SAMPLE_PER_CLASS, NEGATIVES = 2500, 12_000
+#: Bytes of text that the fit handles at once.
+FIT_BLOCK = 1 << 17
 
 #: Symbols: 26 letters, 4 kinds of other bytes, and the marks.
 _SYMBOL = np.full(256, -1, np.int32)
@@ -254,8 +257,10 @@ class ToxicityModel:
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each row the weight of its most toxic unit; a row without words has the bias."""
-        out = np.full(len(offsets) - 1, self.bias)
-        u = units(data, offsets)
+        return self.highest(units(data, offsets), len(offsets) - 1)
+
+    def highest(self, u: Units, rows: int) -> np.ndarray:
+        out = np.full(rows, self.bias)
         if len(u.start):
             np.maximum.at(out, u.row, self.weights(u))
         return out
@@ -272,12 +277,19 @@ def _flattened(z: np.ndarray) -> np.ndarray:
     return inner + 0.1 * (z - inner)
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, Units, int]]:
+    """The units of texts, a few texts at a time to bound the driver's memory: number of the first text, units, number of texts."""
+    for lo in range(0, len(texts), 256):
+        for at, end, data, offsets in blocks(pa.array(texts[lo : lo + 256], pa.large_string()), FIT_BLOCK):
+            yield lo + at, units(data, offsets), end - at
+
+
 def _vocabulary(texts: list[str], contexts: bool = False) -> tuple[dict[bytes, int], dict[bytes, int]]:
     """The units of texts: the number of texts that hold each, and if asked for of different contexts (the words around it), since copies of a text add none."""
     count: dict[bytes, int] = {}
-    seen: dict[bytes, set] = {}
-    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
-        u = units(data, offsets)
+    number: dict[bytes, int] = {}
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, u, _ in _parts(texts):
         if not len(u.start):
             continue
         h = span_hash(running(_BYTES[u.data]), u.start, u.end)
@@ -289,9 +301,14 @@ def _vocabulary(texts: list[str], contexts: bool = False) -> tuple[dict[bytes, i
             count[w] = count.get(w, 0) + k
         if contexts:
             near = mix(np.append(h[1:], np.uint64(0))) ^ np.concatenate([np.zeros(1, np.uint64), h[:-1]])
-            for w, x in zip(back.tolist(), near[first].tolist()):
-                seen.setdefault(names[w], set()).add(x)
-    return count, {w: len(x) for w, x in seen.items()}
+            own = np.array([number.setdefault(w, len(number)) for w in names], np.uint32)[back]
+            pair, at = np.unique(mix(near[first] + own * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            seen.append((pair, own[at]))
+    if not seen:
+        return count, {}
+    pair, own = (np.concatenate(x) for x in zip(*seen))
+    own = own[np.unique(pair, return_index=True)[1]]
+    return count, dict(zip(number, np.bincount(own, minlength=len(number)).tolist()))
 
 
 def _by_chance(toxic: int, harmless: int, share: float) -> float:
@@ -400,14 +417,15 @@ def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds:
     some = np.argsort(mix(np.arange(len(order), dtype=np.uint64)), kind="stable")[: NEGATIVES // 2]
     use = np.union1d(hard, some)
     negative, times = _kernel([order[i] for i in use], marks) @ root, np.array([known[order[i]] for i in use]) / len(harmless)
-    bags, owned = [], []  # the units of each toxic text
-    for _, _, data, offsets in blocks(pa.array(toxic, pa.large_string())):
-        u, whole = units(data, offsets), None
+    bags: list[list[bytes]] = []  # the units of each toxic text
+    own: dict[bytes, bytes] = {}
+    for _, u, n in _parts(toxic):
         whole = u.data.tobytes()
-        for r in range(len(offsets) - 1):
+        for r in range(n):
             a, b = np.searchsorted(u.row, [r, r + 1])
-            bags.append(sorted({whole[i:j] for i, j in zip(u.start[a:b], u.end[a:b])}))
-    vocabulary = sorted({w for b in bags for w in b})
+            bags.append(sorted({own.setdefault(w, w) for w in (whole[i:j] for i, j in zip(u.start[a:b].tolist(), u.end[a:b].tolist()))}))
+    vocabulary = sorted(own)
+    del own
     number, kernel = {w: i for i, w in enumerate(vocabulary)}, _kernel(vocabulary, marks)
     alpha, bias, chosen = np.ones(len(words)), 0.0, set(words)  # the first witness of a text is its word most like all landmarks
     score = kernel.max(axis=1)
@@ -427,14 +445,14 @@ def fit(sample: list[tuple[int, str, int]], prior: float | None = None, rounds:
         weight = np.concatenate([TOXIC_WEIGHT * (1 - share) * n / n.sum(), TOXIC_WEIGHT * share * e / max(1e-9, e.sum()), (1 - TOXIC_WEIGHT) * times])
         w = _svm(x, label, weight)
         alpha, bias = root @ w[:-1], float(w[-1])
-        score = kernel @ alpha + bias
+        score = np.concatenate([kernel[lo : lo + 10_000] @ alpha for lo in range(0, len(kernel), 10_000)]) + bias
+    del bags, kernel, number, vocabulary, known, order
     model = ToxicityModel(words, alpha, bias, 1.0, 0.0)
     # calibration: the texts that the fit didn't see, and the toxic words of the toxic ones with a letter inserted
     own = np.flatnonzero(tune) if tune.any() else np.arange(len(y))
     z, hidden = [], []
-    for lo, _, data, offsets in blocks(pa.array([texts[i] for i in own], pa.large_string())):
-        z.append(model.raw(data, offsets))
-        u = units(data, offsets)
+    for lo, u, n in _parts([texts[i] for i in own]):
+        z.append(model.highest(u, n))
         strong = np.flatnonzero(model.weights(u) > 0) if len(u.start) else np.zeros(0, np.int64)
         strong = strong[y[own[lo + u.row[strong]]] == 1]
         hidden += [d for i in np.unique(strong) for d in disguised(u.data[u.start[i] : u.end[i]].tobytes(), 1)[:1]]
@@ -481,7 +499,10 @@ def toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 def trained(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     prior = known.agg(F.avg("toxic")).first()[0]
-    return fit(labelled_sample(documents, known, "toxic", SAMPLE_PER_CLASS), prior)
+    model = fit(labelled_sample(documents, known, "toxic", SAMPLE_PER_CLASS), prior)
+    model.__dict__.pop("memory", None)  # weights of words, which the fit has filled; workers have their own
+    released()
+    return model
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

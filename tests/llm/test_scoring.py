@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -405,3 +407,17 @@ def test_disguised_insults_are_found(spark):
         texts = [f"You are a {inserted(rng.choice(['idiot', 'stupid', 'scum', 'trash', 'clown']), n)} and more" for _ in range(200)]
         found[n] = sum(int(x >= 0.5) for _, _, d, o in blocks(pa.array(texts)) for x in model.score(d, o)) / 200
     assert found[0] > 0.95 and found[1] > 0.75 and found[2] > 0.4, found
+
+
+def test_vocabulary_of_the_fit_holds_little_memory():
+    rng = np.random.default_rng(5)
+    some = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(5000)]
+    texts = [" ".join(some[i] for i in rng.integers(0, len(some), 400)) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        count, contexts = toxicity._vocabulary(texts, contexts=True)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert len(count) == len(contexts) == 5000 and sum(count.values()) == sum(len(set(x.split())) for x in texts)
+    assert max(contexts.values()) <= max(count.values()) and peak < 80, peak
